@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from tessera.llm import licenses
+from tessera.llm.licenses import find_licenses
+from tessera.llm.packing import pack
 from tessera.llm.token_counts import count_tokens
+from tessera.llm.warc import warc_round_trip
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -17,3 +21,33 @@ def op1_token_counts(spark, sf_dir):
 
 
 QUERIES["op1_token_counts"] = op1_token_counts
+
+
+def op2_warc(spark, sf_dir):
+    return warc_round_trip(_table(spark, sf_dir, "pages")).withColumnRenamed("row_id", "page_id")
+
+
+QUERIES["op2_warc"] = op2_warc
+ORACLES["op2_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+
+def op4_best_fit_packing(spark, sf_dir):
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_best_fit_packing"] = op4_best_fit_packing
+
+
+def op5_license_digests(spark, sf_dir):
+    return find_licenses(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_license_digests"] = op5_license_digests
+ORACLES["op5_license_digests"] = licenses.oracle()
