@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import licenses
 from tessera.llm.decontamination import find_contamination
+from tessera.llm.jaccard_join import near_duplicates
 from tessera.llm.licenses import find_licenses
 from tessera.llm.packing import pack
 from tessera.llm.token_counts import count_tokens
+from tessera.llm.toxicity import score_toxicity, train
 from tessera.llm.warc import warc_round_trip
 
 QUERIES: dict = {}
@@ -77,3 +79,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+
+def op7_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES["op7_toxicity"] = op7_toxicity
+
+
+def op10_ngram_jaccard(spark, sf_dir):
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_ngram_jaccard"] = op10_ngram_jaccard
