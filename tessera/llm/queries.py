@@ -9,6 +9,7 @@ from tessera.llm.decontamination import find_contamination
 from tessera.llm.jaccard_join import near_duplicates
 from tessera.llm.licenses import find_licenses
 from tessera.llm.packing import pack
+from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.toxicity import score_toxicity, train
 from tessera.llm.warc import warc_round_trip
@@ -94,3 +95,10 @@ def op10_ngram_jaccard(spark, sf_dir):
 
 
 QUERIES["op10_ngram_jaccard"] = op10_ngram_jaccard
+
+
+def op6_substring_dedup(spark, sf_dir):
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_substring_dedup"] = op6_substring_dedup
