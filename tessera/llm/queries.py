@@ -12,6 +12,7 @@ from tessera.llm.packing import pack
 from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.toxicity import score_toxicity, train
+from tessera.llm.weak_quality import score_quality
 from tessera.llm.warc import warc_round_trip
 
 QUERIES: dict = {}
@@ -102,3 +103,10 @@ def op6_substring_dedup(spark, sf_dir):
 
 
 QUERIES["op6_substring_dedup"] = op6_substring_dedup
+
+
+def op3_weak_quality(spark, sf_dir):
+    return score_quality(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_weak_quality"] = op3_weak_quality
