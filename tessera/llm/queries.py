@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.llm import licenses
+from tessera.llm.common import cut
 from tessera.llm.decontamination import find_contamination
 from tessera.llm.jaccard_join import near_duplicates
 from tessera.llm.licenses import find_licenses
+from tessera.llm.media import find_image_copies, render
 from tessera.llm.packing import pack
 from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.token_counts import count_tokens
@@ -110,3 +112,11 @@ def op3_weak_quality(spark, sf_dir):
 
 
 QUERIES["op3_weak_quality"] = op3_weak_quality
+
+
+def op9_image_copies(spark, sf_dir):
+    images = cut(render(_table(spark, sf_dir, "embeddings")), "images")
+    return find_image_copies(images).withColumnRenamed("id", "vec_id")
+
+
+QUERIES["op9_image_copies"] = op9_image_copies
