@@ -221,7 +221,11 @@ def device_category(name: Column) -> Column:
 
 def device_types(products: Column, rules: dict[str, list[str]]) -> Column:
     """The sorted names of all rules with a keyword in any product."""
-    hits = [F.when(F.exists(products, lambda p, w=words: any_of(F.lower(p), w)), F.lit(name)) for name, words in rules.items()]
+
+    def has(words: list[str]) -> Column:
+        return F.exists(products, lambda p: any_of(F.lower(p), words))
+
+    hits = [F.when(has(words), F.lit(name)) for name, words in rules.items()]
     return F.array_sort(F.array_compact(F.array(*hits)))
 
 

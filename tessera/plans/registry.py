@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rollups",)
+MODULES = ("rollups", "joins", "decisions")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
