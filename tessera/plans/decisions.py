@@ -146,7 +146,7 @@ _RULES = {"A metal": ["steel", "tin", "brass"], "B plated": ["plated", "burnishe
 
 @BOOK.add(
     "device_types_multi",
-    "SELECT p_partkey, array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(p_type), '{w}')" for w in ws) + f" THEN '{n}' END" for n, ws in _RULES.items()) + "], x -> x IS NOT NULL), ';') AS types FROM part",
+    "SELECT p_partkey, array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(p_type), '{w}')" for w in ws) + f" THEN '{n}' END" for n, ws in _RULES.items()) + "], lambda x: x IS NOT NULL), ';') AS types FROM part",
 )
 def device_types_multi(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(decide.device_types(F.array("p_type"), _RULES), ";").alias("types"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rollups", "joins", "decisions")
+MODULES = ("rollups", "joins", "decisions", "texts", "scores", "streams")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
