@@ -20,7 +20,7 @@ def _place(spark) -> str:
 
 
 def _events(spark, sf_dir):
-    return feeds.file_stream(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
+    return feeds.file_stream(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @BOOK.add("stream_hourly_counts", "SELECT date_trunc('hour', ts) AS hour, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -34,7 +34,7 @@ def stream_hourly_counts(spark, sf_dir):
 
     counts.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{place}/check").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{place}/out")
-    return out.groupBy("hour", "event_type").agg(F.max_by("n", "batch").alias("n"), F.round(F.max_by("total", "batch"), 4).alias("total"))
+    return out.groupBy(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.max_by("n", "batch").alias("n"), F.round(F.max_by("total", "batch"), 4).alias("total"))
 
 
 @BOOK.add("stream_first_seen", "SELECT DISTINCT user_id FROM events")

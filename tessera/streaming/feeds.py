@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> DataFrame:
-    """STR2: new Parquet files as they come; the checkpoint remembers which were read."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """STR2: new Parquet files of a folder as they come, or one file; the checkpoint remembers which were read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return reader.parquet(path)
 
 
 def append_new(stream: DataFrame, key: str, sink: str, checkpoint: str):
