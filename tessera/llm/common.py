@@ -14,8 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held twice.
+BATCH_ROWS = "1000"
+
+
+def tune(spark: SparkSession) -> None:
+    """Smaller Arrow batches than the engine's default, where the session still has that."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; one of our own only where none is set (local tests)."""
+    tune(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -29,10 +41,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again, so that a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -20,22 +20,62 @@ WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[0x20, 9, 10, 11, 12, 13]] = False
 #: Documents of one block of the search, about.
 BLOCK = 512
+#: Nodes whose ids may be broadcast to pick their texts; of more, texts and ids are shuffled.
+SMALL = 500_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's k-word shingles; of a shorter text, one for all its words; none of none."""
+    for s, _ in ranked_sets(data, offsets, k, None):
+        yield s
+
+
+def ranked_sets(data: np.ndarray, offsets: np.ndarray, k: int, order: Order | None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The sets of shingle_sets, each with the places of its shingles in the order."""
     for lo, hi in slices(offsets):
         h, _, counts = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], WORD_BYTES)
         g = grams(h, k)
+        weight = order.word_weights(h) if order else None
         at = 0
         for n in counts.tolist():
             if n >= k:
-                yield np.unique(g[at : at + n - k + 1])
+                s, first = np.unique(g[at : at + n - k + 1], return_index=True)
+                if order:
+                    total = np.concatenate([[0], np.cumsum(weight[at : at + n])])
+                    yield s, order.places(s, (total[k:] - total[:-k])[first])
+                else:
+                    yield s, None
             else:
-                yield grams(h[at : at + n], n) if n else np.zeros(0, np.uint64)
+                s = grams(h[at : at + n], n) if n else np.zeros(0, np.uint64)
+                yield s, np.zeros(len(s), np.uint64)
             at += n
 
 
+class Order:
+    """An order of shingles, those that few documents have first: by whether they were often met, then by their words.
+
+    It only sets which shingles are looked at first, never which documents link, so any counts are right, and those of a
+    sample do."""
+
+    def __init__(self, common: np.ndarray, word: np.ndarray, n_word: np.ndarray) -> None:
+        by = np.argsort(word)
+        self.common, self.word = np.sort(common), word[by]
+        self.weight = np.round(256 * np.log2(1 + n_word[by])).astype(np.int64)
+
+    def word_weights(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.word):
+            return np.zeros(len(h), np.int64)
+        k = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
+        return np.where(self.word[k] == h, self.weight[k], 0)
+
+    def places(self, s: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        place = np.minimum(weight, (1 << 17) - 1).astype(np.uint64) << np.uint64(46) | mix(s) >> np.uint64(18)
+        if len(self.common):
+            known = self.common[np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)] == s
+            place |= known.astype(np.uint64) << np.uint64(63)
+        return place
+
+
 class Threshold:
     """Jaccard similarity of at least percent / 100, in whole numbers."""
 
@@ -46,9 +86,16 @@ class Threshold:
         """The least overlap of a set of n with any that links with it."""
         return -(-n * self.percent // 100)
 
+    def shared(self, n: int) -> int:
+        """How many elements that are looked at a set of n shares with any it links with, at least.
+
+        With n - least(n) + 1 + n // 20 elements of each looked at, sets that link share 1 + n // 20 of these for the
+        larger n, or one less where rounding has it so."""
+        return max(1, n // 20)
+
     def prefix(self, n: int) -> int:
-        """Of n elements in a fixed order, how many to look at: sets that link share one of these."""
-        return n - self.least(n) + 1
+        """Of n elements in a fixed order, how many to look at."""
+        return min(n, n - self.least(n) + 1 + n // 20)
 
     def overlap(self, n: int, m: int) -> int:
         """The least overlap for sets of n and m to link."""
@@ -120,41 +167,45 @@ def link_block(sets: list[np.ndarray], groups: Groups, rule: Threshold, indexed:
     that is both asked and indexed meets each other such once. Pairs of one group need no test, as their link would join
     nothing."""
     n = len(sets)
-    size = np.array([len(s) for s in sets])
-    every = np.concatenate(sets) if n else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(n), size)
-    order = np.argsort(every, kind="stable")
-    values, doc = every[order], owner[order]
-    keep = indexed[doc]
-    values, doc = values[keep], doc[keep]
-    edges = []
-
-    def test(a: int, b: int) -> None:
-        need = rule.overlap(int(size[a]), int(size[b]))
-        if min(size[a], size[b]) >= need and len(np.intersect1d(sets[a], sets[b], assume_unique=True)) >= need and groups.join(a, b):
-            edges.append((a, b))
+    size = np.array([len(s) for s in sets], np.int64)
+    every, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(n), size)
+    by = np.argsort(every, kind="stable")
+    every, owner = every[by], owner[by]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    length = np.diff(np.append(first, len(every)))
+    kept = np.repeat(length > 1, length)  # an element of one set alone is in no inverted list
+    owner, length = owner[kept], length[length > 1]
+    end = np.cumsum(length)
+    begin = end - length
+    of = np.repeat(np.arange(len(length)), length)
+    by = np.argsort(owner, kind="stable")
+    lists_of, edge = of[by], np.searchsorted(owner[by], np.arange(n + 1))
+    edges: list[tuple[int, int]] = []
 
     for q in np.flatnonzero(asked & (guess >= 0)).tolist():
-        if groups.root[q] != groups.root[guess[q]]:
-            test(q, int(guess[q]))
+        g = int(guess[q])
+        need = rule.overlap(int(size[q]), int(size[g]))
+        if groups.root[q] != groups.root[g] and min(size[q], size[g]) >= need and len(np.intersect1d(sets[q], sets[g], assume_unique=True)) >= need and groups.join(q, g):
+            edges.append((q, g))
     for q in np.flatnonzero(asked).tolist():
-        m = int(size[q])
-        lo, hi = np.searchsorted(values, sets[q], "left"), np.searchsorted(values, sets[q], "right")
-        some = hi > lo
-        lo, hi = lo[some], hi[some]
-        # sets of a fitting size, of another group, and not asked themselves before
-        open_ = (groups.root != groups.root[q]) & (size * 100 >= m * rule.percent) & (size * rule.percent <= m * 100)
+        m, mine = int(size[q]), lists_of[edge[q] : edge[q + 1]]
+        if len(mine) < rule.least(m):
+            continue
+        # sets of a fitting size, of another group, and not met when they were asked themselves
+        open_ = indexed & (groups.root != groups.root[q]) & (size * 100 >= m * rule.percent) & (size * rule.percent <= m * 100)
         if indexed[q]:
             open_[q:] &= ~asked[q:]
         if not open_.any():
             continue
-        take = open_[doc]
-        near = np.concatenate([[0], np.cumsum(take)])
-        full = near[hi] > near[lo]
         need = rule.overlap(m, int(size[open_].min()))
-        if int(full.sum()) < need:
+        counts = end[mine] - begin[mine]
+        at = np.repeat(begin[mine] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        docs, which = owner[at], np.repeat(np.arange(len(mine)), counts)
+        docs, which = docs[open_[docs]], which[open_[docs]]
+        cuts = np.flatnonzero(which[1:] != which[:-1]) + 1
+        if len(cuts) + 1 < need or not len(docs):
             continue
-        lists = [doc[a:b][take[a:b]].tolist() for a, b in zip(lo[full].tolist(), hi[full].tolist(), strict=True)]
+        lists = [x.tolist() for x in np.split(docs, cuts)]
         for y, count in divide_skip(lists, need).items():
             if count >= rule.overlap(m, int(size[y])) and groups.join(q, y):
                 edges.append((q, y))
@@ -178,23 +229,27 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _common(rows: DataFrame, k: int, one_in: int, least: int, most: int) -> np.ndarray:
-    """Shingles that many documents have, found in one of `one_in` documents: sorted, at most `most`.
-
-    They only set the order in which shingles are looked at, never which documents are compared, so any list is right."""
+def _order(rows: DataFrame, k: int, one_in: int, least: int, most: int) -> Order:
+    """The order from one of `one_in` documents: at most `most` words and shingles that are there at least `least` times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = list(shingle_sets(*text_bytes(batch.column(0)), k))
-            values, n = np.unique(np.concatenate(every) if every else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+            data, off = text_bytes(batch.column(0))
+            for lo, hi in slices(off):
+                part, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+                sets = list(shingle_sets(part, at, k))
+                for kind, h in (("word", words(part, at, WORD_BYTES)[0]), ("shingle", np.concatenate(sets) if sets else np.zeros(0, np.uint64))):
+                    values, n = np.unique(h, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(values)), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "h", "n"])
 
     some = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(one_in)) == 0).select("text")
-    found = some.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).collect()
-    return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
+    counted = some.mapInArrow(count, "kind string, h bigint, n bigint").groupBy("kind", "h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    found = counted.orderBy(F.desc("n"), "h").limit(most).collect()
+    of = {kind: np.array([(r["h"], r["n"]) for r in found if r["kind"] == kind], np.int64).reshape(-1, 2) for kind in ("word", "shingle")}
+    return Order(of["shingle"][:, 0].copy().view(np.uint64), of["word"][:, 0].copy().view(np.uint64), of["word"][:, 1])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, sample_one_in: int = 16, common_least: int = 8, common_most: int = 100_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, sample_one_in: int = 16, common_least: int = 8, common_most: int = 200_000) -> DataFrame:
     """A row for each row of docs: its id, n_shingles and component_id, the smallest id that it reaches by links.
 
     Words are runs of other than ASCII white space with A-Z lower-cased; a document's set holds its distinct k-word
@@ -207,24 +262,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded size with its first member in every one, then, for shingles whose nodes are still in several components, each
     node in the blocks of the others. In a block, T-occurrence search finds the links between different components. So a
     family of any size costs a few rows for each member as long as its members link with its first; there is no cap."""
+    found = _classes(docs, id_col, text_col, k, percent, sample_one_in, common_least, common_most)
+    smallest = found.groupBy("label").agg(F.min("id").alias("component_id"))
+    named = found.filter("n = 0").withColumn("component_id", F.col("id")).unionByName(found.filter("n > 0").join(smallest, "label"))
+    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, sample_one_in: int = 16, common_least: int = 8, common_most: int = 200_000) -> DataFrame:
+    """The rows of docs, with all their columns, without all but one of each component: that with the smallest id.
+
+    Without any id in a component, one row of it stays all the same; of rows repeated with id and text, one. Rows with no
+    words all stay."""
+    found = _classes(docs, id_col, text_col, k, percent, sample_one_in, common_least, common_most).filter("n > 0")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("x")).select("label", F.col("x.row_key").alias("first_key"))
+    marked = cut(found.groupBy("label", "row_key").agg(F.count("*").alias("copies")).join(first, "label").select("row_key", "copies", (F.col("row_key") == F.col("first_key")).alias("stays")), "marked")
+    gone, again = marked.filter("not stays").select("row_key"), marked.filter("stays and copies > 1").select("row_key")
+
+    def side(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.limit(SMALL + 1).count() <= SMALL else keys
+
+    all_rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"))
+    kept = all_rows.join(side(gone), "row_key", "left_anti")
+    once = kept.join(side(again), "row_key", "left_anti")
+    return once.unionByName(kept.join(side(again), "row_key", "left_semi").dropDuplicates(["row_key"])).select("row.*")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, sample_one_in: int, common_least: int, common_most: int) -> DataFrame:
+    """(id, row_key, n, label) of each row of docs; label: its component's smallest node, null without words."""
     spark = docs.sparkSession
     rule = Threshold(percent)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    common = spark.sparkContext.broadcast(_common(rows, k, sample_one_in, common_least, common_most))
+    order = spark.sparkContext.broadcast(_order(rows, k, sample_one_in, common_least, common_most))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.value
         for batch in batches:
             sizes, nodes, keys = [], [], []
-            for s in shingle_sets(*text_bytes(batch.column(1)), k):
+            for s, place in ranked_sets(*text_bytes(batch.column(1)), k, order.value):
                 sizes.append(len(s))
                 nodes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
                 p = rule.prefix(len(s)) if len(s) else 0
-                rank = mix(s) >> np.uint64(1)
-                if len(known) and len(s):
-                    rank |= (known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s).astype(np.uint64) << np.uint64(63)
-                keys.append((s[np.argpartition(rank, p - 1)[:p]] if p < len(s) else s).view(np.int64))
+                keys.append((s[np.argpartition(place, p - 1)[:p]] if p < len(s) else s).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["id", "row_key", "n", "node", "keys"])
@@ -234,47 +312,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # keys that several nodes have, with those nodes
     keys = described.filter("n > 0").select(F.explode("keys").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
+    which = described.filter("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("n").alias("n"))
     met = cut(keys.join(shared, "key").distinct(), "met")
+    for _ in range(2):  # what shares too few keys with all others together links with none of them
+        enough = met.groupBy("node").agg(F.count("*").alias("keys")).join(which, "node").filter(F.col("keys") >= F.greatest(F.lit(1), F.floor(F.col("n") / 20))).select("node")
+        rest = met.select("key", "node").join(enough, "node")
+        shared = rest.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
+        met = cut(rest.join(shared, "key"), "met")
 
     # a family: what shares a key with its first node; large ones in several blocks
     family = met.groupBy("node").agg(F.min("first").alias("family"))
     count = family.groupBy("family").agg(F.count("*").alias("members"))
-    which = described.filter("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("n").alias("n"))
     active = cut(family.join(count, "family").join(which, "node"), "families")
-    n_small = max(1, -(-active.count() // BLOCK))
+    n_active = active.count()
+    n_small = max(1, -(-n_active // BLOCK))
     parts = F.ceil(F.col("members") / BLOCK)
     shard = F.when(parts <= 1, F.pmod(F.xxhash64("family"), F.lit(n_small))).otherwise(n_small + F.pmod(F.xxhash64("family", F.pmod(F.xxhash64("node"), parts)), F.lit(1 << 50)))
     placed = cut(active.select("node", "family", "row_key", "n", shard.alias("shard")), "placed")
-    heads = placed.select("family", "shard").distinct().join(placed.select(F.col("node").alias("family"), "row_key", "n"), "family").select(F.col("family").alias("node"), "family", "row_key", "shard")
-    first = placed.select("node", "family", "row_key", "shard").unionByName(heads).distinct().select("*", F.lit(True).alias("indexed"), F.lit(True).alias("asked"), F.col("node").alias("label"))
-    labels = components(_search(rows, first, k, rule))
+    heads = placed.select("family", "shard").distinct().select(F.col("family").alias("node"), "family", "shard")
+    first = placed.select("node", "family", "shard").unionByName(heads).distinct().select("*", F.lit(True).alias("indexed"), F.lit(True).alias("asked"), F.col("node").alias("label"))
+    source = rows.select(F.xxhash64("id", "text").alias("row_key"), "text")
+    wanted = placed.select("node", "row_key")
+    texts = cut(source.join(F.broadcast(wanted) if n_active <= SMALL else wanted, "row_key").select("node", "text"), "texts")
+    labels = components(_search(texts, first, k, rule))
 
     # keys whose nodes are in several components and blocks yet
-    known = placed.join(labels, "node", "left").select("node", "shard", "row_key", "n", F.coalesce("label", "node").alias("label"))
+    known = placed.join(labels, "node", "left").select("node", "shard", "n", F.coalesce("label", "node").alias("label"))
     open_keys = met.select("key", "node").join(known.select("node", "shard", "label"), "node").groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("shard").alias("s1"), F.max("shard").alias("s2")).filter("l1 < l2 and s1 < s2").select("key")
     left = cut(met.select("key", "node").join(open_keys, "key").join(known, "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))), "left")
     if not left.isEmpty():
         there = left.select("key", F.col("band").alias("band2"), F.col("shard").alias("to"), F.col("label").alias("label2")).distinct().groupBy("key", "band2", "to").agg(F.min("label2").alias("low"), F.max("label2").alias("high"))
         met_by = (F.col("to") < F.col("shard")) & (F.abs(F.col("band") - F.col("band2")) <= 1) & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))
-        guests = cut(left.join(there, "key").filter(met_by).select("node", "row_key", "label", "to").distinct(), "guests")
+        guests = cut(left.join(there, "key").filter(met_by).select("node", "label", "to").distinct(), "guests")
         rooms = guests.groupBy("to").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("rooms"))
         room = F.pmod(F.xxhash64("node"), F.col("rooms"))
-        asking = guests.join(rooms, "to").select("node", F.lit(None).cast("bigint").alias("family"), "row_key", F.xxhash64("to", room).alias("shard"), F.lit(False).alias("indexed"), F.lit(True).alias("asked"), "label")
+        asking = guests.join(rooms, "to").select("node", F.lit(None).cast("bigint").alias("family"), F.xxhash64("to", room).alias("shard"), F.lit(False).alias("indexed"), F.lit(True).alias("asked"), "label")
         owners = known.join(rooms, known["shard"] == rooms["to"]).withColumn("room", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rooms") - 1)))
-        hosts = owners.select("node", F.lit(None).cast("bigint").alias("family"), "row_key", F.xxhash64("to", "room").alias("shard"), F.lit(True).alias("indexed"), F.lit(False).alias("asked"), "label")
-        more = _search(rows, hosts.unionByName(asking), k, rule)
+        hosts = owners.select("node", F.lit(None).cast("bigint").alias("family"), F.xxhash64("to", "room").alias("shard"), F.lit(True).alias("indexed"), F.lit(False).alias("asked"), "label")
+        more = _search(texts, hosts.unionByName(asking), k, rule)
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more.select("a", "b")))
 
-    classes = described.filter("n > 0").groupBy("node").agg(F.min("id").alias("first_id"))
-    labelled = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_node = labelled.join(smallest, "label").select("node", "component_id")
-    return described.join(of_node, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    named = described.select("id", "row_key", "n", "node").join(labels, "node", "left")
+    return named.select("id", "row_key", "n", F.coalesce("label", "node").alias("label"))
 
 
-def _search(rows: DataFrame, places: DataFrame, k: int, rule: Threshold) -> DataFrame:
-    """Edges (a, b) found in each shard. places: (node, family, row_key, shard, indexed, asked, label)."""
-    texts = rows.select(F.xxhash64("id", "text").alias("row_key"), "text")
+def _search(texts: DataFrame, places: DataFrame, k: int, rule: Threshold) -> DataFrame:
+    """Edges (a, b) found in each shard. texts: (node, text). places: (node, family, shard, indexed, asked, label)."""
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -291,5 +374,5 @@ def _search(rows: DataFrame, places: DataFrame, k: int, rule: Threshold) -> Data
         edges = np.array(link_block(sets, groups, rule, indexed, asked, guess), np.int64).reshape(-1, 2)
         return pa.table({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
 
-    joined = places.join(texts, "row_key").select("shard", "node", "family", "indexed", "asked", "label", "text")
+    joined = places.join(texts, "node").select("shard", "node", "family", "indexed", "asked", "label", "text")
     return cut(joined.groupBy("shard").applyInArrow(search, "a bigint, b bigint"), "links")
