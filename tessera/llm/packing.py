@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut
 from tessera.llm.token_counts import encode_spliced, load_tokenizer
 
+#: Counts of lengths by task that may be broadcast; more are joined by a shuffle.
+SMALL = 500_000
+
 Bin = tuple[int, ...]  # lengths, descending
 
 
@@ -260,6 +263,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     runs = spark.sparkContext.broadcast(_runs(solve(counts, capacity, steps)))
     window = "sum(n) OVER (PARTITION BY length ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     before = by_part.select("part", "length", F.coalesce(F.expr(window), F.lit(0)).alias("before"))
+    if by_part.count() <= SMALL:
+        before = F.broadcast(before)
     ranked = made.join(before, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * keep_ids
     schema = ", ".join(f"{n} {dict(made.dtypes).get(n, 'bigint')}" for n in names)
