@@ -14,13 +14,13 @@ from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, St
 VULNERABILITY = StructType([StructField("cve", StringType()), StructField("cwe", StringType()), StructField("cvss_score", DoubleType())])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity, first argument first; null for null."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """all HTML entities."""
     return text.map(lambda t: None if t is None else html.unescape(t))
@@ -58,6 +58,6 @@ def clean_jsonc(text: str | None) -> str | None:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def jsonc(text: pd.Series) -> pd.Series:
     return text.map(clean_jsonc)

@@ -9,10 +9,13 @@ from tessera.plans.base import Book, table
 
 BOOK = Book()
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles
-RANK = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).otherwise(1)
 RANK_SQL = "CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END"
 
 
+def _rank():
+    return F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).otherwise(1)
+
+
 @BOOK.add(
     "worst_case_rollup",
     f"""
@@ -24,13 +27,13 @@ RANK_SQL = "CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 EN
     """,
 )
 def worst_case_rollup(spark, sf_dir):
-    worst = rollup.worst_case(table(spark, sf_dir, "events"), ["user_id"], RANK, "event_id", ["event_type"])
+    worst = rollup.worst_case(table(spark, sf_dir, "events"), ["user_id"], _rank(), "event_id", ["event_type"])
     return worst.groupBy(F.col("event_type").alias("worst_type")).agg(F.count("*").alias("n_users"))
 
 
 @BOOK.add("worst_case_rows", f"SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {RANK_SQL} DESC, event_id) AS n FROM events) WHERE n = 1")
 def worst_case_rows(spark, sf_dir):
-    return rollup.worst_case(table(spark, sf_dir, "events"), ["user_id"], RANK, "event_id", ["event_id", "event_type"])
+    return rollup.worst_case(table(spark, sf_dir, "events"), ["user_id"], _rank(), "event_id", ["event_id", "event_type"])
 
 
 @BOOK.add(

@@ -157,33 +157,33 @@ def build_logs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("file", F.contains("value", F.lit("BUILD OK")).cast("int").alias("build_ok"), F.contains("value", F.lit("CRITIC OK")).cast("int").alias("critic_ok"), last.cast("int").alias("seconds"))
 
 
-class PagedFeed(DataSource):
-    """SRC22 to SRC26: a feed that is asked for chunks of ids, as a Spark source; options ids, chunk and a fetcher's name.
+def paged_feed(feed: str, fetch) -> type[DataSource]:
+    """SRC22 to SRC26: a Spark source named feed that asks for chunks of ids; options ids (comma-joined) and chunk.
 
-    Fetchers are registered under a name: a function of a list of ids that yields (id, body). Each chunk is a partition."""
+    fetch: a function of a list of ids that yields (id, body); it runs on the executors, a partition for each chunk."""
 
-    fetchers: dict = {}
+    class Reader(DataSourceReader):
+        def __init__(self, options) -> None:
+            self.ids, self.size = [i for i in options["ids"].split(",") if i], int(options.get("chunk", "80"))
 
-    @classmethod
-    def name(cls) -> str:
-        return "paged_feed"
+        def partitions(self) -> list[InputPartition]:
+            return [InputPartition(self.ids[i : i + self.size]) for i in range(0, len(self.ids), self.size)] or [InputPartition([])]
 
-    def schema(self) -> str:
-        return "id string, body string"
+        def read(self, partition: InputPartition):
+            yield from fetch(partition.value)
 
-    def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(self.options, self.fetchers[self.options["fetcher"]])
+    class Feed(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return feed
 
+        def schema(self) -> str:
+            return "id string, body string"
 
-class _PagedReader(DataSourceReader):
-    def __init__(self, options, fetch) -> None:
-        self.ids, self.size, self.fetch = [i for i in options["ids"].split(",") if i], int(options.get("chunk", "80")), fetch
+        def reader(self, schema) -> DataSourceReader:
+            return Reader(self.options)
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.ids[i : i + self.size]) for i in range(0, len(self.ids), self.size)] or [InputPartition([])]
-
-    def read(self, partition: InputPartition):
-        yield from self.fetch(partition.value)
+    return Feed
 
 
 def repositories(spark: SparkSession, rows: list[tuple]) -> DataFrame:
