@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ _U = np.uint64
 _MOST = _U(0xFFFFFFFFFFFFFFFF)
 #: Contexts of one anchor text that one task compares; anchors with more are told apart by their windows' hashes.
 GROUP = 1024
+#: Row keys that may be broadcast to pick texts; of more, all texts are shuffled.
+SMALL = 500_000
 #: Bytes by which the coarse keys of such windows step.
 STEP = 25
 NO_BYTES = hashlib.sha256(b"").hexdigest()
@@ -46,8 +49,7 @@ def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def find_anchors(data: np.ndarray, offsets: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, position in it, hash of the anchor, hash of its context) of all anchors of texts of at least span bytes.
 
-    Every k-gram that is smallest in some window counts, ties included. A window across two texts may add anchors, never
-    lose one."""
+    Of a window's k-grams the one with the smallest hash (its upper bits; the rightmost of equals) is its anchor."""
     n, w = len(data), span - k + 1
     none = np.zeros(0, np.int64)
     if n < span:
@@ -55,14 +57,17 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, span: int, k: int) -> tu
     total, inv = _hashes(data)
     h = mix((total[k:] - total[:-k]) * inv[: n - k + 1])
     sizes = np.diff(offsets)
-    end = np.repeat(offsets[1:], sizes)[: n - k + 1]
-    h[np.arange(n - k + 1) + k > end] = _MOST
-    least = _slide(h, w, np.minimum, _MOST)
-    reach = _slide(np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)]), w, np.maximum, _U(0))
-    at = np.flatnonzero((reach == h) & (h != _MOST))
+    inside = np.arange(n - span + 1) + span <= np.repeat(offsets[1:], sizes)[: n - span + 1]
+    if n < 1 << 27:
+        low = _U((1 << 27) - 1)
+        least = _slide((h & ~low) | (low - np.arange(len(h), dtype=np.uint64)), w, np.minimum, _MOST)[inside]
+        at = np.unique(low - (least & low)).astype(np.int64)
+    else:  # one huge text: all of equals, the rightmost among them
+        top = h >> _U(27)
+        least = _slide(top, w, np.minimum, _MOST)
+        reach = _slide(np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)]), w, np.maximum, _U(0))
+        at = np.flatnonzero(reach == top)
     text = np.searchsorted(offsets, at, "right") - 1
-    long = sizes[text] >= span
-    at, text = at[long], text[long]
     lo, hi = np.maximum(at - w + 1, offsets[text]), np.minimum(at + span, offsets[text + 1])
     context = mix((total[hi] - total[lo]) * inv[lo] + (hi - lo).astype(np.uint64) * MULT[3] + (at - lo).astype(np.uint64) * MULT[5])
     return text, at - offsets[text], h[at], context
@@ -93,27 +98,43 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((v, first))
 
 
-def maximal_repeats(lefts: list[bytes], rights: list[bytes], span: int) -> Iterator[tuple[int, int, list[int]]]:
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], span: int, novel: bool = False) -> Iterator[tuple[int, int, list[int]]]:
     """(bytes before, bytes from the anchor on, occurrences) of the maximal repeats of at least span bytes at one anchor.
 
     rights: from the anchor on; lefts: what precedes it, reversed. Occurrences are all of those that share the text, not
-    neighbours alone. Within an interval of the sorted rights, occurrences are sorted by what precedes them and scanned
-    for intervals in turn; one of those is output if its occurrences differ in the byte before (or end there) and come
-    from more than one child of the outer interval, so that it can be extended to neither side."""
+    neighbours alone. Within an interval of the sorted rights, occurrences with the same bytes before, as many as the
+    repeat lacks, are sorted by what precedes them and scanned for intervals in turn; one of those is output if its
+    occurrences come from more than one child of the outer interval, so that it can be extended to neither side.
+
+    novel: output only occurrences that reach further left than in the intervals within, which come first; what the
+    repeats cover stays the same, and intervals whose occurrences reach as far as they can are passed over."""
     order = sorted(range(len(rights)), key=rights.__getitem__)
     after = _lcp([rights[i] for i in order])
+    reached = [-1] * len(rights)
     for right, first, last in intervals(after):
-        members = sorted(order[first : last + 1], key=lefts.__getitem__)
-        child = {}
-        number = 0
+        short = max(0, span - right)
+        classes: dict[bytes, list[int]] = {}
+        number, child = 0, {}
         for p in range(first, last + 1):
-            child[order[p]] = number
+            i = order[p]
+            child[i] = number
             number += p < last and after[p] == right
-        before = _lcp([lefts[i] for i in members])
-        for left, lo, hi in [*intervals(before), (0, 0, len(members) - 1)]:
-            some = members[lo : hi + 1]
-            if left + right >= span and len(some) > 1 and len({child[i] for i in some}) > 1:
-                yield left, right, some
+            if len(lefts[i]) >= short:
+                classes.setdefault(lefts[i][:short], []).append(i)
+        for members in classes.values():
+            if len(members) < 2 or novel and all(reached[i] >= len(lefts[i]) for i in members):
+                continue
+            members.sort(key=lefts.__getitem__)
+            for left, lo, hi in [*intervals(_lcp([lefts[i] for i in members])), (0, 0, len(members) - 1)]:
+                some = members[lo : hi + 1]
+                if left < short or len(some) < 2 or all(child[i] == child[some[0]] for i in some):
+                    continue
+                if novel:
+                    some = [i for i in some if reached[i] < left]
+                    for i in some:
+                        reached[i] = left
+                if some:
+                    yield left, right, some
 
 
 def _cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -132,7 +153,7 @@ def node_of(text: Column) -> Column:
     return F.xxhash64(F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256))
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, k: int = 50) -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, k: int = 80) -> tuple[DataFrame, DataFrame]:
     """The bytes to remove: those of any `span`-byte string that also starts elsewhere, in the same or another row.
 
     Returns (rows, classes). rows: (id, n_bytes, sha256, node) of each row of docs. classes: (node, copies, spans,
@@ -159,8 +180,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(node_of(F.col(text_col)).alias("node"), text.alias("text")).filter(F.octet_length("text") >= span)
     anchors = texts.mapInArrow(anchor, "anchor bigint, context bigint, node bigint, pos int")
     place = F.xxhash64("node", "pos")
-    several = anchors.groupBy("anchor").agg(F.min("context").alias("c1"), F.max("context").alias("c2"), F.min(place).alias("p1"), F.max(place).alias("p2")).filter("p1 < p2").select("anchor", (F.col("c1") < F.col("c2")).alias("mixed"))
-    shared = cut(anchors.join(cut(several, "several"), "anchor").distinct(), "shared")
+    several = anchors.groupBy("anchor").agg(F.min(place).alias("p1"), F.max(place).alias("p2")).filter("p1 < p2").select("anchor")
+    twice = cut(anchors.join(several, "anchor").distinct(), "twice")
+    kinds = twice.groupBy("anchor").agg((F.min("context") < F.max("context")).alias("mixed"))
+    shared = cut(twice.join(kinds, "anchor"), "shared")
 
     # an anchor's contexts: one that occurs twice covers all its occurrences; of the others, one occurrence each goes on
     contexts = cut(shared.filter("mixed").groupBy("anchor", "context").agg(F.min("node").alias("node"), F.min_by("pos", F.struct("node", "pos")).alias("pos"), (F.min(place) < F.max(place)).alias("twice")), "contexts")
@@ -170,7 +193,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     looked = contexts.join(sizes, "anchor").groupBy("node").agg(F.collect_list(F.struct("pos", "anchor", "context", "twice", (F.col("n_contexts") > GROUP).alias("many"))).alias("contexts"))
     wanted = looked.join(whole, "node", "full").join(classes.select("node", "row_key"), "node")
     source = docs.select(F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
-    active = cut(wanted.join(source, "row_key").select("node", "text", "contexts", "whole"), "active")
+    few = shared.select("node").distinct().join(classes.select("node", "row_key"), "node").select("row_key").limit(SMALL + 1)
+    if few.count() <= SMALL:  # pick the texts before they are shuffled
+        source = source.join(F.broadcast(few), "row_key", "left_semi")
+    active = cut(wanted.join(source, "row_key").select("node", "text", "contexts", "whole"), "active", compression="zstd")
 
     def cut_out(many: bool):
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +226,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = []
         for lo, hi in zip(edges, edges[1:], strict=False):
             spans: dict[int, list[tuple[int, int]]] = {}
-            for left, right, some in maximal_repeats(lefts[lo:hi], rights[lo:hi], span):
+            for left, right, some in maximal_repeats(lefts[lo:hi], rights[lo:hi], span, novel=True):
                 for i in some:
                     if not twice[lo + i]:
                         spans.setdefault(lo + i, []).append((pos[lo + i] - left, pos[lo + i] + right))
@@ -217,22 +243,27 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            data, off = text_bytes(batch.column(1))
+            at, found = (np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy())]) for c in (2, 3))
+            pos, pairs = batch.column(2).flatten().to_numpy().astype(np.int64), batch.column(3).flatten()
+            starts, ends = (pairs.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+            node, out = batch.column(0).to_pylist(), []
             for i in range(batch.num_rows):
-                raw = batch.column(1)[i].as_py().encode()
-                spans = [(s["start"], s["end"]) for s in batch.column(3)[i].as_py() or ()]
-                for p in batch.column(2)[i].as_py() or ():
-                    lo, hi = max(0, p - w + 1), min(len(raw), p + span)
-                    if hi - lo >= span:
-                        spans.append((lo, hi))
-                spans = _cover(spans)
-                if spans:
-                    kept, at = hashlib.sha256(), 0
-                    for lo, hi in spans:
-                        kept.update(raw[at:lo])
-                        at = hi
-                    kept.update(raw[at:])
-                    out.append((batch.column(0)[i].as_py(), [{"start": a, "end": b} for a, b in spans], sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
+                raw = data[off[i] : off[i + 1]]
+                p = pos[at[i] : at[i + 1]]
+                lo, hi = np.maximum(p - w + 1, 0), np.minimum(p + span, len(raw))
+                long = hi - lo >= span
+                lo, hi = np.concatenate([lo[long], starts[found[i] : found[i + 1]]]), np.concatenate([hi[long], ends[found[i] : found[i + 1]]])
+                if not len(lo):
+                    continue
+                order = np.argsort(lo, kind="stable")
+                lo, reach = lo[order], np.maximum.accumulate(hi[order])
+                gap = np.flatnonzero(lo[1:] > reach[:-1])
+                lo, hi = lo[np.concatenate([[0], gap + 1])].tolist(), reach[np.concatenate([gap, [len(reach) - 1]])].tolist()
+                kept = hashlib.sha256()
+                for a, b in zip([0, *hi], [*lo, len(raw)], strict=True):
+                    kept.update(raw[a:b])
+                out.append((node[i], [{"start": a, "end": b} for a, b in zip(lo, hi, strict=True)], sum(hi) - sum(lo), len(lo), kept.hexdigest()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pair, pa.int64(), pa.int64(), pa.string()), strict=True)], names=["node", "spans", "n_removed", "n_spans", "kept_sha256"])
 
@@ -294,7 +325,7 @@ def _by_windows(crowded: DataFrame, span: int, k: int) -> DataFrame:
     return placed.select("node", start.alias("start"), (start + span).alias("end"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, k: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, k: int = 80) -> DataFrame:
     """A row for each row of docs: its id, n_bytes, n_removed, n_spans and kept_sha256 (lower-case hex, of what is kept)."""
     rows, classes = find_repeats(docs, id_col, text_col, span, k)
     joined = rows.join(classes.drop("spans", "copies"), "node", "left")
