@@ -33,16 +33,17 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def strip(batches):
         for batch in batches:
             texts, all_spans = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-            gone = []
+            gone, size = [], [None] * len(texts)
             for i, spans in enumerate(all_spans):
                 if spans is not None:
                     texts[i] = substring_dedup.strip_spans(texts[i].encode(), [(s["start"], s["end"]) for s in spans]).decode()
-                gone.append(spans is not None and not texts[i])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array(gone, pa.bool_())], names=[*names, "text", "gone"])
+                    size[i] = len(texts[i])
+                gone.append(size[i] == 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(texts, pa.string()), pa.array(gone, pa.bool_()), pa.array(size, pa.int64())], names=[*names, "text", "_gone", "_size"])
 
-    kept = rows.mapInArrow(strip, schema + ", gone boolean").filter("not gone")
+    kept = rows.mapInArrow(strip, schema + ", _gone boolean, _size bigint").filter("not _gone")
     if "n_chars" in names:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        kept = kept.withColumn("n_chars", F.coalesce(F.col("_size").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return kept.select(*docs.columns)
 
 

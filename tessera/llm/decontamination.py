@@ -143,7 +143,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             one = _scan(rows.select("id", "text", "row"), _index(spark, some, span, k), id_type, ["row"], ["bigint"])
             parts = one if parts is None else parts.unionByName(one)
         merged = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.sum("n_items").alias("n_items"), F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("spans_of"), F.array_sort(F.flatten(F.collect_list("word_spans"))).alias("ws"))
-        union = F.udf(_union, "array<struct<start:bigint,end:bigint>>")
+        union = F.udf(_union, "array<struct<start:bigint,end:bigint>>", useArrow=False)
         merged = merged.withColumn("hit_spans", union("spans_of")).withColumn("ws", union("ws")).withColumn("n_hit", F.aggregate("ws", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"]))
         made = rows.join(merged, "row").withColumn("contaminated", F.col("n_hit") > 0)
     return made.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "item_ids", "contaminated", *(["hit_spans"] if spans else []), *(F.col(k_).alias(c) for k_, c in zip(kept, keep, strict=True)))

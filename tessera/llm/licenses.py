@@ -44,6 +44,7 @@ EQUIVALENT = (
     ("recognise", "recognize"),
     ("signalling", "signaling"),
     ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
     ("utilisation", "utilization"),
     ("whilst", "while"),
     ("wilful", "willful"),

@@ -15,8 +15,8 @@ from tessera.llm.common import BYTE_VALUE, LOWER, mix, powers, slices, text_byte
 #: Insults that count before anything is learned, and words that address the reader.
 INSULTS = "idiot moron stupid scum trash clown loser pathetic worthless disgusting imbecile dumbass bastard bitch asshole freak vermin filth idiota estúpido imbécil imbécile connard salope abruti trottel dummkopf arschloch abschaum".split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre vos usted tú ti vosotros su".split()
-#: Characters that stand for letters in disguised words.
-LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+#: Characters that stand for letters in disguised words; an exclamation mark does between letters alone.
+LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
 PREFIXES = (4, 5, 6)
 FEATURES = ("words", "insults", "n_insults", "learned", "n_learned", "weight", "near_you", "you", "capitals", "shouted", "punctuation", "exclaims", "asks", "doubled", "inner_symbols", "disguised", "stretched", "spaced")
@@ -115,6 +115,7 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: tuple[np.ndarray, n
     stretched = np.zeros(n, bool)
     stretched[2:] = (low[2:] == low[1:-1]) & (low[2:] == low[:-2]) & _ASCII_LETTER[data[2:]]
     leet_bytes = _LEET[data]
+    leet_bytes[(data == 33) & inner] = ord("i")
     disguised = np.zeros(m)
     if (leet_bytes != low).any():
         _, _, leet_doc, leet_hashes = _tokens(leet_bytes, offsets)
