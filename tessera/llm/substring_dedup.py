@@ -22,7 +22,9 @@ from tessera.llm.common import BYTE_VALUE, MULT, cut, mix, powers, slices, text_
 _U = np.uint64
 _MOST = _U(0xFFFFFFFFFFFFFFFF)
 #: Contexts of one anchor text that one task compares; anchors with more are told apart by their windows' hashes.
-GROUP = 1024
+GROUP = 16_384
+#: Contexts of one task's share, about.
+SHARE = 4_096
 #: Row keys that may be broadcast to pick texts; of more, all texts are shuffled.
 SMALL = 500_000
 #: Bytes by which the coarse keys of such windows step.
@@ -181,7 +183,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     anchors = texts.mapInArrow(anchor, "anchor bigint, context bigint, node bigint, pos int")
     place = F.xxhash64("node", "pos")
     several = anchors.groupBy("anchor").agg(F.min(place).alias("p1"), F.max(place).alias("p2")).filter("p1 < p2").select("anchor")
-    twice = cut(anchors.join(several, "anchor").distinct(), "twice")
+    twice = cut(anchors.join(cut(several, "several"), "anchor").distinct(), "twice")
     kinds = twice.groupBy("anchor").agg((F.min("context") < F.max("context")).alias("mixed"))
     shared = cut(twice.join(kinds, "anchor"), "shared")
 
@@ -234,7 +236,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"node": pa.array(cols[0], pa.int64()), "start": pa.array(cols[1], pa.int64()), "end": pa.array(cols[2], pa.int64())})
 
-    n_buckets = max(1, -(-contexts.count() // (4 * GROUP)))
+    n_buckets = max(1, -(-contexts.count() // SHARE))
     partial = cut_out(False).groupBy(F.pmod(F.xxhash64("anchor"), F.lit(n_buckets))).applyInArrow(search, "node bigint, start bigint, end bigint")
     if not sizes.filter(F.col("n_contexts") > GROUP).isEmpty():
         partial = partial.unionByName(_by_windows(cut(cut_out(True).dropDuplicates(["anchor", "context"]), "crowded"), span, k))
