@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_VALUE, LOWER, mix, powers, slices, text_bytes
+from tessera.llm.common import BYTE_VALUE, LOWER, cut, mix, powers, slices, text_bytes
 
 #: Insults that count before anything is learned, and words that address the reader.
 INSULTS = "idiot moron stupid scum trash clown loser pathetic worthless disgusting imbecile dumbass bastard bitch asshole freak vermin filth idiota estúpido imbécil imbécile connard salope abruti trottel dummkopf arschloch abschaum".split()
@@ -18,6 +18,10 @@ SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu
 #: Characters that stand for letters in disguised words; an exclamation mark does between letters alone.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
+#: Of the labelled texts with a lexicon's word, at least so many are toxic: a topic that toxic texts favour is none.
+SHARE = 0.7
+#: A row's own training features come from the lexicon of the other folds.
+FOLDS = 4
 PREFIXES = (4, 5, 6)
 FEATURES = ("words", "insults", "n_insults", "learned", "n_learned", "weight", "near_you", "you", "capitals", "shouted", "punctuation", "exclaims", "asks", "doubled", "inner_symbols", "disguised", "stretched", "spaced")
 _U = np.uint64
@@ -226,16 +230,15 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % 3 == 1, F.lit(True))
 
 
-def _lexicon(rows: list, of: tuple[str, str], limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _lexicon(rows: list[tuple[int, int, int]], nt: int, nc: int, n_words: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and weights of the words that tell toxic texts. rows: hash, toxic and clean texts with the word."""
     kept = []
-    for r in rows:
-        t, c, nt, nc = r[of[0]], r[of[1]], r["n" + of[0]], r["n" + of[1]]
-        if t >= 3 and nt and t * nc > 3 * c * nt:
-            kept.append((r["h"], math.log((t + 0.5) / (nt + 1) * (nc + 1) / (c + 0.5)), _surprise(t, c, nt, nc)))
-    floor = 2 * math.log(max(1, max((r["n_candidates"] for r in rows), default=1)))
-    kept = sorted((k for k in kept if k[2] >= floor), key=lambda k: -k[2])[:limit]
-    kept.sort(key=lambda k: k[0] & (1 << 64) - 1)
-    return np.array([k[0] & (1 << 64) - 1 for k in kept], np.uint64), np.array([k[1] for k in kept], np.float64)
+    floor = 2 * math.log(max(1, n_words))
+    for h, t, c in rows:
+        if t >= 3 and nt and nc and t >= SHARE * (t + c) and t * nc > 3 * c * nt and (g := _surprise(t, c, nt, nc)) >= floor:
+            kept.append((h & (1 << 64) - 1, math.log((t + 0.5) / (nt + 1) * (nc + 1) / (c + 0.5)), g))
+    kept = sorted(sorted(kept, key=lambda k: (-k[2], k[0]))[:limit])
+    return np.array([k[0] for k in kept], np.uint64), np.array([k[1] for k in kept], np.float64)
 
 
 def _surprise(t: float, c: float, nt: float, nc: float) -> float:
@@ -248,17 +251,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit lexicon, trees and calibration on labelled rows that are not held out.
 
     At most max_rows labels are used, those with the smallest hash of their id: a bounded sample, so it may be broadcast.
-    Words (and first 4, 5 and 6 bytes of words) make the lexicon where toxic texts have them at least three times as
-    often as clean ones and more surprisingly than the most surprising of so many words by chance. The lexicon for a
-    row's own training features comes from the other half of the rows. Without both labels, two fixed insults decide."""
+    Words (and first 4, 5 and 6 bytes of words) make the lexicon where most texts with them are toxic, toxic texts have
+    them at least three times as often as clean ones, and more surprisingly than the most surprising of so many words by
+    chance. The lexicon for a
+    row's own training features comes from the other folds. Without both labels, two fixed insults decide."""
     spark = docs.sparkSession
     few = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("y", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int").alias("half"), "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("y", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
+    rows = cut(rows, "labelled")
+    names = [f"{k}{j}" for k in "ct" for j in range(FOLDS)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_bytes(batch.column(2))
-            kind = np.asarray(batch.column(0)) * 2 + np.asarray(batch.column(1))
+            kind = np.asarray(batch.column(0)) * FOLDS + np.asarray(batch.column(1))
             for lo, hi in slices(off, 1 << 22):
                 _, _, doc, hashes = _tokens(LOWER[data[off[lo] : off[hi]]], off[lo : hi + 1] - off[lo])
                 h, d = np.concatenate(hashes), np.tile(doc, len(hashes))
@@ -269,30 +275,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
                 h, k = h[new], kind[lo + d[new]]
                 values, inverse = np.unique(h, return_inverse=True)
-                table = np.bincount(inverse * 4 + k, minlength=4 * len(values)).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(pa.array(table[:, j]) for j in range(4))], names=["h", "c0", "c1", "t0", "t1"])
+                table = np.bincount(inverse * 2 * FOLDS + k, minlength=2 * FOLDS * len(values)).reshape(-1, 2 * FOLDS)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(pa.array(table[:, j]) for j in range(2 * FOLDS))], names=["h", *names])
 
-    sizes = rows.groupBy("y", "half").count().collect()
-    n = {f"{'ct'[r['y']]}{r['half']}": r["count"] for r in sizes}
-    nt, nc = n.get("t0", 0) + n.get("t1", 0), n.get("c0", 0) + n.get("c1", 0)
+    sizes = {(r["y"], r["fold"]): r["count"] for r in rows.groupBy("y", "fold").count().collect()}
+    nt, nc = (sum(n for (y, _), n in sizes.items() if y == k) for k in (1, 0))
     if not nt or not nc:
         return Model((np.zeros(0, np.uint64), np.zeros(0)), None, None)
-    counted = rows.mapInArrow(count, "h bigint, c0 bigint, c1 bigint, t0 bigint, t1 bigint").groupBy("h").agg(*(F.sum(c).alias(c) for c in ("c0", "c1", "t0", "t1")))
-    kept = counted.withColumn("n_candidates", F.lit(0)).filter((F.col("t0") + F.col("t1") >= 3) & ((F.col("t0") + F.col("t1")) * nc > 3 * (F.col("c0") + F.col("c1")) * nt))
-    candidates = kept.orderBy(F.desc(F.col("t0") + F.col("t1") - (F.col("c0") + F.col("c1")) * (nt / nc)), "h").limit(4 * max_lexicon).collect()
-    n_words = counted.filter(F.col("t0") + F.col("t1") + F.col("c0") + F.col("c1") >= 3).count()
-    table = [{"h": r["h"], "n_candidates": n_words} | {f"{a}{b}": r[f"{a}{b}"] for a in "ct" for b in "01"} | {f"n{a}{b}": n.get(f"{a}{b}", 0) for a in "ct" for b in "01"} | {"t": r["t0"] + r["t1"], "c": r["c0"] + r["c1"], "nt": nt, "nc": nc} for r in candidates]
-    halves = [_lexicon(table, ("t0", "c0"), max_lexicon), _lexicon(table, ("t1", "c1"), max_lexicon)]
-    shared = spark.sparkContext.broadcast(halves)
+    counted = rows.mapInArrow(count, "h bigint, " + ", ".join(f"{c} bigint" for c in names)).groupBy("h").agg(*(F.sum(c).alias(c) for c in names))
+    t, c = (sum((F.col(f"{k}{j}") for j in range(1, FOLDS)), F.col(f"{k}0")) for k in "tc")
+    counted = cut(counted.withColumn("t", t).withColumn("c", c).filter("t + c >= 3"), "counted")
+    n_words = counted.count()
+    candidates = counted.filter(F.col("t") * nc > F.col("c") * nt).orderBy(F.desc(F.col("t") - F.col("c") * (nt / nc)), "h").limit(8 * max_lexicon).collect()
+    whole = [(r["h"], r["t"], r["c"]) for r in candidates]
+    lexicons = []
+    for k in range(FOLDS):
+        others = [(r["h"], r["t"] - r[f"t{k}"], r["c"] - r[f"c{k}"]) for r in candidates]
+        lexicons.append(_lexicon(others, nt - sizes.get((1, k), 0), nc - sizes.get((0, k), 0), n_words, max_lexicon))
+    shared = spark.sparkContext.broadcast(lexicons)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            half = np.asarray(batch.column(1))
+            fold = np.asarray(batch.column(1))
             data, off = text_bytes(batch.column(2))
             for lo, hi in slices(off):
                 part, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                both = [features(part, at, shared.value[1 - k]) for k in (0, 1)]
-                x = np.where((half[lo:hi] == 0)[:, None], both[0], both[1])
+                x = np.stack([features(part, at, one) for one in shared.value])[fold[lo:hi], np.arange(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x])], names=["y", "x"])
 
     got = rows.mapInArrow(describe, "y int, x binary").collect()
@@ -303,7 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     out = np.zeros(len(y))
     for k in range(3):
         out[fold == k] = Trees().fit(x[fold != k], y[fold != k]).decide(x[fold == k]) if (fold != k).any() else 0
-    return Model(_lexicon(table, ("t", "c"), max_lexicon), Trees().fit(x, y), isotonic(out, y))
+    return Model(_lexicon(whole, nt, nc, n_words, max_lexicon), Trees().fit(x, y), isotonic(out, y))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
