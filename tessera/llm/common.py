@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised loops take at a time; a longer text is taken alone.
 SLICE_BYTES = 1 << 20
@@ -48,6 +49,21 @@ def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that may be broadcast, each of a few numbers; and over how many tasks a key's rows are dealt beyond that.
+SMALL, SALT = 500_000, 16
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with the one row of their key in table, a written table of a few numbers a row.
+
+    A table of at most SMALL rows is broadcast, so that rows stay where they are. Of a larger one each row is repeated
+    SALT times, and rows meet them by key and the hash of their column `spread`: no key lands in one task."""
+    if table.count() <= SMALL:
+        return rows.join(F.broadcast(table), key, how)
+    salted = table.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("bigint"))
+    return rows.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(SALT).cast("bigint"))).join(salted, [key, "salt_"], how).drop("salt_")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
