@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -132,6 +133,11 @@ def lower_table() -> np.ndarray:
 LOWER = lower_table()
 
 
+#: Bytes of the longest word with a polynomial hash modulo 2 ** 64, which equal bytes alone make likely to be equal only
+#: while words are short (Thue-Morse words of 1,024 bytes collide whatever the base is); longer ones have a hash of BLAKE2.
+LONG_WORD = 64
+
+
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of lower-cased texts: a 64-bit hash of each, where each starts and ends in data, and how many each text has.
 
@@ -156,6 +162,8 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUE[low] * p, out=total[1:])
     h = mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     counts = np.searchsorted(starts, offsets[1:], "left") - np.searchsorted(starts, offsets[:-1], "left")
     return h, np.stack([starts, ends], 1), counts
 
