@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import grams, mix, slices, text_bytes, words
+from tessera.llm.common import LOWER, grams, mix, slices, text_bytes, words
 
 #: Function words of the languages the stop-word labeller knows.
 STOP_WORDS = "the of and to a in is it that for on are as with at be this from by le la les de des et en un une du est que qui dans pour par pas der die das und zu von mit ist den ein eine nicht sich auf el los las y que una por con para se al como".split()
@@ -24,6 +24,11 @@ LABELLERS = (
     ("length", "above", 20, 8),
     ("long_words", "below", 9.0, 12.0),
     ("digits", "below", 0.10, 0.30),
+    ("plain_words", "above", 0.90, 0.75),
+    ("bare_symbols", "below", 0.02, 0.06),
+    ("symbol_runs", "below", 0.01, 0.10),
+    ("triples", "below", 0.005, 0.05),
+    ("old_trigrams", "below", 0.20, 0.50),
 )
 ABSTAIN, BAD, GOOD = 0, 1, 2
 _WHITE = np.ones(256, bool)
@@ -64,10 +69,21 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     same = np.zeros(len(g), bool)
     same[1:] = (g[1:] == g[:-1]) & (letter_doc[1:] == letter_doc[:-1])
-    order = np.lexsort((h, doc))
-    first = np.ones(len(h), bool)
-    first[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    distinct = np.bincount(doc[order][first], minlength=m)
+    triple = np.zeros(len(g), bool)
+    triple[2:] = same[2:] & same[1:-1]
+
+    def distinct_of(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+        order = np.lexsort((values, of))
+        v, d = values[order], of[order]
+        first = np.ones(len(v), bool)
+        first[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
+        return np.bincount(d[first], minlength=m)
+
+    distinct = distinct_of(h, doc)
+    three = grams(g, 3)
+    inside = letter_doc[: len(three)] == letter_doc[2 : 2 + len(three)]
+    trigrams = np.bincount(letter_doc[: len(three)][inside], minlength=m)
+    new_trigrams = distinct_of(three[inside], letter_doc[: len(three)][inside])
     # a text of n words of natural language has about 4.5 n ** 0.75 different ones or fewer; short texts vary wholly
     variety = distinct / np.minimum(count, 6 * count**0.75)
     line_end = np.zeros(n, bool)
@@ -76,8 +92,13 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     solid = line_end & (data != 10)
     closed = solid & np.isin(data, [ord(c) for c in ".!?\"')"])
     known = _STOP[np.minimum(np.searchsorted(_STOP, g), len(_STOP) - 1)] == g
+    symbol, sign = _SYMBOL[data], np.concatenate([[0], np.cumsum(_SYMBOL[data])])
+    solid_byte = np.concatenate([[0], np.cumsum(_LETTERS[LOWER[data]] | _DIGIT[data])])
+    signs, solids = (c[where[:, 1]] - c[where[:, 0]] for c in (sign, solid_byte))
+    run = np.zeros(n, bool)
+    run[1:] = symbol[1:] & symbol[:-1]
     columns = (
-        per_byte(_SYMBOL[data]) / size,
+        per_byte(symbol) / size,
         per_byte(_UPPER[data]) / np.maximum(per_byte(_ASCII[data]), 1),
         np.bincount(letter_doc, same, m) / letter_count,
         variety,
@@ -86,6 +107,11 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         counts,
         np.bincount(doc, where[:, 1] - where[:, 0], m) / count,
         per_byte(_DIGIT[data]) / size,
+        np.bincount(doc, (signs == 0) & (solids > 0), m) / count,
+        np.bincount(doc, solids == 0, m) / count,
+        per_byte(run) / count,
+        np.bincount(letter_doc, triple, m) / letter_count,
+        1 - new_trigrams / np.maximum(trigrams, 1) * (trigrams > 0) - (trigrams == 0),
     )
     for j, c in enumerate(columns):
         out[:, j] = c
@@ -120,7 +146,7 @@ class VoteModel:
         """Of each labeller's votes, the expected share that is right."""
         good, bad = self.share * self.tables[1], (1 - self.share) * self.tables[0]
         right = good[:, GOOD] + bad[:, BAD]
-        return {name: float(r / (r + w)) for (name, *_), r, w in zip(LABELLERS, right, good[:, BAD] + bad[:, GOOD], strict=True)}
+        return {name: float(r / (r + w)) for (name, *_), r, w in zip(LABELLERS, right, good[:, BAD] + bad[:, GOOD], strict=False)}
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 1.0) -> VoteModel:
@@ -202,8 +228,9 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     predicted is 1 if score >= threshold. Null texts count as empty: every measure is 0 and the votes follow from that.
     Repeated rows and null ids stay rows of their own; other columns are ignored. An empty table gives no rows.
 
-    Votes of all texts are counted by pattern, at most 3 ** 9 of them, and only those counts go to the driver. The scorer
-    is fitted on at most max_rows rows, those with the smallest hash of id and text: the documented bound of its sample."""
+    Votes of all texts are counted by pattern, at most 3 ** 14 of them, and only those counts go to the driver. The scorer
+    is fitted on at most max_rows different texts, those with the smallest hash, each once however many copies it has:
+    the documented bound of its sample."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
@@ -216,7 +243,6 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], names=["pattern", "n"])
 
     counted = rows.select("text").mapInArrow(vote, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
-    total = sum(r["n"] for r in counted)
     codes = np.array([r["pattern"] for r in counted], np.int64)
     model = fit_votes(codes[:, None] // _CODE % 3, np.array([r["n"] for r in counted], float))
 
@@ -238,9 +264,9 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     share.append(np.concatenate([b[1] for b in both]).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(index, pa.binary()), pa.array(share, pa.binary())], names=["p", "i", "s"])
 
-    rank = F.xxhash64("id", "text")
-    share = min(1.0, 1.5 * max_rows / max(total, 1) + 0.001)
-    some = rows.withColumn("rank", rank).filter(F.pmod("rank", F.lit(1 << 20)) < int(share * (1 << 20))).orderBy("rank").limit(max_rows).select("text")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    chosen = rows.select(text_hash.alias("h")).distinct().orderBy(F.xxhash64("h"), "h").limit(max_rows)
+    some = rows.select(text_hash.alias("h"), "text").join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("text").alias("text")).select("text")
     got = sorted(((r["p"], bytes(r["i"]), bytes(r["s"])) for r in some.mapInArrow(describe, "p double, i binary, s binary").collect()), key=lambda r: (r[1], r[2]))
     scorer = Scorer(bits).fit([(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32), p) for p, i, s in got])
     shared = spark.sparkContext.broadcast((model, scorer))
