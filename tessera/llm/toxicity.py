@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from tessera.llm.common import BYTE_VALUE, LOWER, cut, mix, powers, slices, text_bytes
 
@@ -20,7 +21,7 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$
 
 #: Of the labelled texts with a lexicon's word, at least so many are toxic: a topic that toxic texts favour is none.
 SHARE = 0.7
-#: A row's own training features come from the lexicon of the other folds.
+#: A row's own training features and calibration come from the other folds.
 FOLDS = 4
 PREFIXES = (4, 5, 6)
 FEATURES = ("words", "insults", "n_insults", "learned", "n_learned", "weight", "near_you", "you", "capitals", "shouted", "punctuation", "exclaims", "asks", "doubled", "inner_symbols", "disguised", "stretched", "spaced")
@@ -250,15 +251,19 @@ def _surprise(t: float, c: float, nt: float, nc: float) -> float:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_lexicon: int = 20_000) -> Model:
     """Fit lexicon, trees and calibration on labelled rows that are not held out.
 
-    At most max_rows labels are used, those with the smallest hash of their id: a bounded sample, so it may be broadcast.
+    At most max_rows ids are used, those with the smallest hash: a bounded sample, so it may be broadcast. An id whose
+    label rows disagree is left out; of several texts with one id, that with the smallest hash counts.
     Words (and first 4, 5 and 6 bytes of words) make the lexicon where most texts with them are toxic, toxic texts have
     them at least three times as often as clean ones, and more surprisingly than the most surprising of so many words by
-    chance. The lexicon for a
-    row's own training features comes from the other folds. Without both labels, two fixed insults decide."""
+    chance. Folds go by a text's hash, so that equal texts are in one: the lexicon for a row's own training features and
+    the trees whose decisions on it calibrate come from the other folds. With labels of one kind alone there is nothing
+    to learn, and two fixed insults decide."""
     spark = docs.sparkSession
-    few = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("y", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
-    rows = cut(rows, "labelled")
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    few = marked.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").orderBy(F.xxhash64("id"), "id").limit(max_rows).select("id", "y")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    one = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(few), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    rows = cut(one.select("y", F.pmod("x.h", F.lit(FOLDS)).cast("int").alias("fold"), "x.text"), "labelled")
     names = [f"{k}{j}" for k in "ct" for j in range(FOLDS)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,27 +306,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for lo, hi in slices(off):
                 part, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 x = np.stack([features(part, at, one) for one in shared.value])[fold[lo:hi], np.arange(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x])], names=["y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x])], names=["y", "fold", "x"])
 
-    got = rows.mapInArrow(describe, "y int, x binary").collect()
+    got = rows.mapInArrow(describe, "y int, fold int, x binary").collect()
     got.sort(key=lambda r: (r["x"], r["y"]))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in got])
-    y = np.array([r["y"] for r in got], float)
-    fold = np.arange(len(y)) % 3
+    y, fold = np.array([r["y"] for r in got], float), np.array([r["fold"] for r in got])
     out = np.zeros(len(y))
-    for k in range(3):
-        out[fold == k] = Trees().fit(x[fold != k], y[fold != k]).decide(x[fold == k]) if (fold != k).any() else 0
+    for k in np.unique(fold).tolist():
+        if (fold != k).any():
+            out[fold == k] = Trees().fit(x[fold != k], y[fold != k]).decide(x[fold == k])
     return Model(_lexicon(whole, nt, nc, n_words, max_lexicon), Trees().fit(x, y), isotonic(out, y))
 
 
-def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, with_row: str | None = None) -> DataFrame:
     """A row for each row of docs: its id, held_out, score and predicted (1 if score >= threshold).
 
     A null text counts as empty; an empty one gets the score of no words. Repeated rows and null ids stay rows of their
-    own (a null id is held out). keep: other columns to hand on; the rest are ignored. Map-only."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
-    kept = [f"kept_{i}" for i in range(len(keep))]
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int" + "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in kept)
+    own (a null id is held out). with_row: the name of a further column that holds the whole row of docs as a struct, so
+    that no column of docs clashes; otherwise other columns are ignored. Map-only."""
+    whole = [F.struct("*").alias("row")] if with_row else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"), *whole)
+    schema = StructType([StructField("id", rows.schema["id"].dataType), StructField("held_out", BooleanType()), StructField("score", DoubleType()), StructField("predicted", IntegerType()), *rows.schema.fields[3:]])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +335,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             data, off = text_bytes(batch.column(1))
             parts = [shared.value.score(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in slices(off)]
             s = np.clip(np.concatenate(parts), 0, 1) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), *(batch.column(3 + i) for i in range(len(kept)))], names=["id", "held_out", "score", "predicted", *kept])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), *batch.columns[3:]], names=["id", "held_out", "score", "predicted", *(["row"] if with_row else [])])
 
     out = rows.mapInArrow(score, schema)
-    return out.select(F.col("id").alias(id_col), "held_out", "score", "predicted", *(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)))
+    return out.select(F.col("id").alias(id_col), "held_out", "score", "predicted", *([F.col("row").alias(with_row)] if with_row else []))

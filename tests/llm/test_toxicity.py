@@ -60,3 +60,47 @@ def test_isotonic_is_monotone():
     x = r.random(500)
     xs, ys = T.isotonic(x, (r.random(500) < x).astype(float))
     assert (np.diff(xs) >= 0).all() and (np.diff(ys) >= 0).all() and 0 < ys[0] < ys[-1] < 1
+
+
+def test_labels_and_texts_that_repeat_or_disagree(spark):
+    docs, labels = rows(600)
+    d = spark.createDataFrame(docs + docs[:50] * 3, "doc_id long, text string, score string")
+    noisy = labels + labels[:80] + [(i, 1, 1 - t) for i, _, t in labels[100:140]] + [(None, 1, 1), (5, 1, None)]
+    once = [x for n, x in enumerate(labels) if not 100 <= n < 140]
+    as_rows = lambda z: spark.createDataFrame(z, "doc_id long, quality int, toxic int")
+    got, want = (sorted((r["doc_id"], r["score"]) for r in T.score_toxicity(d, T.train(x, as_rows(z))).collect()) for x, z in ((d, noisy), (d.limit(600), once)))
+    assert got == want
+
+
+def test_trees_choose_the_best_split_of_all():
+    """One tree of depth one against every split of every feature."""
+    r = np.random.default_rng(3)
+    x, y = r.integers(0, 12, (60, 3)).astype(np.float32), (r.random(60) < 0.4).astype(float)
+    tree = T.Trees(rounds=1, depth=1, rate=1.0, least=5, l2=1.0).fit(x, y)
+    p = y.mean()
+    g, h = y - p, np.full(60, p * (1 - p))
+    best = 0.0
+    for j in range(3):
+        for cut in np.unique(x[:, j]):
+            left = x[:, j] <= cut
+            if min(left.sum(), (~left).sum()) >= 5:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 1)
+                best = max(best, gain)
+    split = x[:, tree.feature[0][0][0]] <= tree.cut[0][0][0]
+    got = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (split, ~split)) - g.sum() ** 2 / (h.sum() + 1)
+    assert abs(got - best) < 1e-9
+    leaves = np.where(split, g[split].sum() / (h[split].sum() + 1), g[~split].sum() / (h[~split].sum() + 1))
+    assert np.allclose(tree.decide(x) - tree.base, leaves)
+
+
+def test_isotonic_is_the_closest_monotone_fit():
+    """Against the max-min formula of isotonic regression, before each pool is drawn to the mean."""
+    r = np.random.default_rng(5)
+    x, y = np.arange(14.0), (r.random(14) < 0.5).astype(float)
+    mean = lambda a, b: y[a : b + 1].mean()
+    want = np.array([max(min(mean(a, b) for b in range(i, 14)) for a in range(i + 1)) for i in range(14)])
+    xs, ys = T.isotonic(x, y)
+    got = np.interp(x, xs, ys)
+    for i in range(14):
+        pool = np.flatnonzero(np.isclose(want, want[i]))
+        assert np.isclose(got[i], (want[i] * len(pool) + y.mean()) / (len(pool) + 1))
