@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from tessera.llm.common import cut, grams, slices, text_bytes, words
 
@@ -66,25 +68,29 @@ class TestIndex:
                     prints[int(g[p])].append((n, int(p)))
         self.short = {size: (np.array(sorted(d), np.uint64), {key: tuple(v) for key, v in d.items()}) for size, d in short.items()}
         self.prints = np.array(sorted(prints), np.uint64)
-        self.postings = {key: tuple(v) for key, v in prints.items()}
+        # what can be extended around a print is within the windows that hold it; items that are alike there go together
+        self.postings = {key: self._alike(v) for key, v in prints.items()}
+
+    def _alike(self, places: list[tuple[int, int]]) -> tuple[tuple[np.ndarray, int, tuple[int, ...]], ...]:
+        groups: dict[tuple[int, bytes], tuple[np.ndarray, set[int]]] = {}
+        for n, q in places:
+            lo = max(0, q + self.k - self.span)
+            near = self.words[n][lo : q + self.span]
+            groups.setdefault((q - lo, near.tobytes()), (near, set()))[1].add(n)
+        return tuple((near, at, tuple(sorted(items))) for (at, _), (near, items) in groups.items())
 
     def find(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, set[int]]:
         """Which words of a text are hit, and the items with an occurring window. g: its k-gram hashes."""
         hit, found = np.zeros(len(h) + 1, np.int64), set()
         if len(h) >= self.span and len(self.prints):
             at = winnow(g, self.window)
-            at = at[_member(g[at], self.prints)]
-            done: dict[tuple[int, int], int] = {}  # by item and diagonal: where the last extension ended
-            for p in at.tolist():
-                for n, q in self.postings[int(g[p])]:
-                    if done.get((n, p - q), -1) >= p + self.k:
-                        continue
-                    lo, hi = _extend(h, p, self.words[n], q, self.k)
-                    done[n, p - q] = hi
+            for p in at[_member(g[at], self.prints)].tolist():
+                for near, q, items in self.postings[int(g[p])]:
+                    lo, hi = _extend(h, p, near, q, self.k)
                     if hi - lo >= self.span:
                         hit[lo] += 1
                         hit[hi] -= 1
-                        found.add(n)
+                        found.update(items)
         for size, (keys, items) in self.short.items():
             whole = grams(h, size)
             for p in np.flatnonzero(_member(whole, keys)).tolist():
@@ -113,60 +119,75 @@ def _extend(a: np.ndarray, p: int, b: np.ndarray, q: int, k: int) -> tuple[int,
     return lo, p + k + (int(differ[0]) if len(differ) else ahead)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 5, block_chars: int = 16 << 20, keep: tuple[str, ...] = (), spans: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 5, block_chars: int = 16 << 20, with_row: str | None = None, spans: bool = False) -> DataFrame:
     """A row for each row of docs: its id, n_words, n_hit, n_items, item_ids (sorted strings) and contaminated.
 
     Lower-cases A-Z; words are runs of ASCII digits, letters and any other than ASCII characters. A window is `span`
     consecutive words of an item, or the whole of a shorter item; a word within any occurrence of a window is hit.
     Null and empty texts have no words, null item ids count as items without an id in no list, equal items count each;
     repeated rows and null ids stay rows of their own. With spans, also hit_spans: [start, end) bytes in UTF-8.
-    keep: other columns to hand on.
+    with_row: the name of a further column that holds the whole row of docs as a struct, so that no column clashes.
 
-    Test items meet all documents block by block: a block has at most block_chars characters of items, so what is
-    broadcast never exceeds a block however large the benchmark. One block is the usual case and needs no shuffle; with
-    more, each document's hits in each block are merged by a row number made before the blocks."""
+    Test items are a set of queries that meets all documents block by block: a block has at most block_chars characters
+    of items, or one longer item, so what is broadcast never exceeds that however large the benchmark. One block is the
+    usual case and needs no shuffle; with more, each document's hits in each block are merged by a row number made before
+    the blocks, and the broadcast of a block is released once its hits are written."""
     spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("words_of"), F.coalesce(F.length(item_text_col), F.lit(0)).alias("n"))
     total = items.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-2 * total // block_chars))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
-    kept = [f"kept_{i}" for i in range(len(keep))]
-    kept_types = [docs.schema[c].dataType.simpleString() for c in keep]
-    if blocks == 1:
-        made = _scan(rows, _index(spark, items.select("item", "words_of").collect(), span, k), id_type, kept, kept_types)
+    whole = [F.struct("*").alias("row")] if with_row else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *whole)
+    if total <= block_chars:
+        made = _scan(rows, _index(spark, items.select("item", "words_of").collect(), span, k))
     else:
-        rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-        parts = None
-        for b in range(blocks):
-            some = items.filter(F.pmod(F.xxhash64("item", "words_of"), F.lit(blocks)) == b).select("item", "words_of").collect()
-            one = _scan(rows.select("id", "text", "row"), _index(spark, some, span, k), id_type, ["row"], ["bigint"])
-            parts = one if parts is None else parts.unionByName(one)
-        merged = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.sum("n_items").alias("n_items"), F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("spans_of"), F.array_sort(F.flatten(F.collect_list("word_spans"))).alias("ws"))
-        union = F.udf(_union, "array<struct<start:bigint,end:bigint>>", useArrow=False)
-        merged = merged.withColumn("hit_spans", union("spans_of")).withColumn("ws", union("ws")).withColumn("n_hit", F.aggregate("ws", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"]))
-        made = rows.join(merged, "row").withColumn("contaminated", F.col("n_hit") > 0)
-    return made.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "item_ids", "contaminated", *(["hit_spans"] if spans else []), *(F.col(k_).alias(c) for k_, c in zip(kept, keep, strict=True)))
-
-
-def _union(spans) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for lo, hi in sorted((s["start"], s["end"]) for s in spans or ()):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [tuple(x) for x in out]
+        numbered = cut(rows.withColumn("number", F.monotonically_increasing_id()), "decontaminate")
+        parts = []
+        for some in _blocks(items, block_chars):
+            index = _index(spark, some, span, k)
+            parts.append(cut(_scan(numbered.select(F.col("number").alias("id"), "text"), index), "hits"))
+            index.destroy()
+        hits = reduce(DataFrame.unionByName, parts)
+        merged = hits.groupBy(F.col("id").alias("number")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.sum("n_items").alias("n_items"), _union(F.flatten(F.collect_list("hit_spans"))).alias("hit_spans"), _union(F.flatten(F.collect_list("word_spans"))).alias("word_spans"))
+        merged = merged.withColumn("n_hit", F.aggregate("word_spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"]))
+        made = numbered.drop("text").join(merged, "number").withColumn("contaminated", F.col("n_hit") > 0)
+    return made.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "item_ids", "contaminated", *(["hit_spans"] if spans else []), *([F.col("row").alias(with_row)] if with_row else []))
+
+
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[list]:
+    """The items in blocks by their running size, one block at a time on the driver."""
+    block, size = [], 0
+    for r in items.toLocalIterator():
+        if block and size + r["n"] > block_chars:
+            yield block
+            block, size = [], 0
+        block.append((r["item"], r["words_of"]))
+        size += r["n"]
+    yield block
+
+
+def _union(spans: Column) -> Column:
+    """The union of spans, as maximal runs in order."""
+
+    def add(runs: Column, x: Column) -> Column:
+        last = F.element_at(runs, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        joins = (F.size(runs) > 0) & (x["start"] <= last["end"])
+        return F.when(joins, F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(runs, F.array(x)))
+
+    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+    return F.aggregate(F.array_sort(spans), empty, add)
 
 
 def _index(spark, rows, span: int, k: int):
     return spark.sparkContext.broadcast(TestIndex([(r[0], r[1]) for r in rows], span, k))
 
 
-def _scan(rows: DataFrame, index, id_type: str, kept: list[str], kept_types: list[str]) -> DataFrame:
-    """rows: id, text and kept columns."""
-    pairs = "array<struct<start:bigint,end:bigint>>"
-    schema = f"id {id_type}, n_words bigint, n_hit bigint, n_items bigint, item_ids array<string>, contaminated boolean, hit_spans {pairs}, word_spans {pairs}" + "".join(f", {c} {t}" for c, t in zip(kept, kept_types, strict=True))
+def _scan(rows: DataFrame, index) -> DataFrame:
+    """rows: id, text and perhaps the whole row."""
+    pairs = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+    kinds = [("n_words", LongType()), ("n_hit", LongType()), ("n_items", LongType()), ("item_ids", ArrayType(StringType())), ("contaminated", BooleanType()), ("hit_spans", pairs), ("word_spans", pairs)]
+    schema = StructType([StructField("id", rows.schema["id"].dataType), *(StructField(n, t) for n, t in kinds), *rows.schema.fields[2:]])
+    more = [f.name for f in rows.schema.fields[2:]]
     pair_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +211,6 @@ def _scan(rows: DataFrame, index, id_type: str, kept: list[str], kept_types: lis
                         c.append(v)
                     at += n
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pair_type, pair_type]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), *(batch.column(i + 2) for i in range(len(kept)))], names=["id", "n_words", "n_hit", "n_items", "item_ids", "contaminated", "hit_spans", "word_spans", *kept])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), *batch.columns[2:]], names=["id", "n_words", "n_hit", "n_items", "item_ids", "contaminated", "hit_spans", "word_spans", *more])
 
     return rows.mapInArrow(scan, schema)
