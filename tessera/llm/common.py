@@ -47,11 +47,19 @@ def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again, so that a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_at = path
+    return made
+
+
+def drop(*written: DataFrame) -> None:
+    """Delete what cut has written, once nothing reads it any more."""
+    for df in written:
+        drop_path(df.sparkSession, df.written_at)
 
 
 #: Rows of a table that may be broadcast, each of a few numbers; and over how many tasks a key's rows are dealt beyond that.
-SMALL, SALT = 500_000, 16
+SMALL, SALT = 500_000, 8
 
 
 def attach(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:

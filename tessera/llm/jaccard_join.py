@@ -10,18 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, grams, mix, slices, text_bytes, words
+from tessera.llm.common import SMALL, attach, cut, drop, grams, mix, slices, text_bytes, words
 
 #: Words are separated by the ASCII white space 0x20 and 0x09 to 0x0D alone.
 WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[0x20, 9, 10, 11, 12, 13]] = False
-#: Documents of one block of the search, about.
-BLOCK = 512
-#: Nodes whose ids may be broadcast to pick their texts; of more, texts and ids are shuffled.
-SMALL = 500_000
+#: Documents of one block of the search, and shingles of all of them, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -220,13 +218,21 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        near = attach(both, labels.select(F.col("node").alias("b"), "label"), "b", spread="a").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        up = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        new = cut(step.join(up, step["label"] == up["via"], "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        labels = new.select("node", "label")
+        up = attach(step, labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", spread="node", how="left")
+        new = cut(up.select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        drop(labels)
+        labels = new
         if new.filter("was <> label").isEmpty():
-            return labels
+            drop(both)
+            return new.select("node", "label")
+
+
+def by_component(rows: DataFrame, label: str, value: Column, spread: str, name: str, how: str = "left") -> DataFrame:
+    """rows with `name`, the least value of all rows of their label, or null where a row is alone with it."""
+    several = cut(rows.groupBy(label).agg(F.min(value).alias(name), F.count("*").alias("several_")).filter("several_ > 1").drop("several_"), "several")
+    return attach(rows, several, label, spread, how)
 
 
 def _order(rows: DataFrame, k: int, one_in: int, least: int, most: int) -> Order:
@@ -263,9 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node in the blocks of the others. In a block, T-occurrence search finds the links between different components. So a
     family of any size costs a few rows for each member as long as its members link with its first; there is no cap."""
     found = _classes(docs, id_col, text_col, k, percent, sample_one_in, common_least, common_most)
-    smallest = found.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = found.filter("n = 0").withColumn("component_id", F.col("id")).unionByName(found.filter("n > 0").join(smallest, "label"))
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    named = by_component(found.filter("n > 0"), "label", F.col("id"), "row_key", "first_id").unionByName(found.filter("n = 0").withColumn("first_id", F.col("id")))
+    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first_id", "id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, sample_one_in: int = 16, common_least: int = 8, common_most: int = 200_000) -> DataFrame:
@@ -274,12 +279,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Without any id in a component, one row of it stays all the same; of rows repeated with id and text, one. Rows with no
     words all stay."""
     found = _classes(docs, id_col, text_col, k, percent, sample_one_in, common_least, common_most).filter("n > 0")
-    first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("x")).select("label", F.col("x.row_key").alias("first_key"))
-    marked = cut(found.groupBy("label", "row_key").agg(F.count("*").alias("copies")).join(first, "label").select("row_key", "copies", (F.col("row_key") == F.col("first_key")).alias("stays")), "marked")
+    several = by_component(found, "label", F.struct(F.col("id").isNull().alias("null"), "id", "row_key"), "row_key", "first", how="inner")
+    marked = cut(several.groupBy("label", "row_key").agg(F.count("*").alias("copies"), F.min("first.row_key").alias("first_key")).select("row_key", "copies", (F.col("row_key") == F.col("first_key")).alias("stays")), "marked")
     gone, again = marked.filter("not stays").select("row_key"), marked.filter("stays and copies > 1").select("row_key")
 
     def side(keys: DataFrame) -> DataFrame:
-        return F.broadcast(keys) if keys.limit(SMALL + 1).count() <= SMALL else keys
+        return F.broadcast(keys) if keys.count() <= SMALL else keys
 
     all_rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"))
     kept = all_rows.join(side(gone), "row_key", "left_anti")
@@ -314,20 +319,26 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
     which = described.filter("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("n").alias("n"))
     met = cut(keys.join(shared, "key").distinct(), "met")
+    earlier = []
     for _ in range(2):  # what shares too few keys with all others together links with none of them
         enough = met.groupBy("node").agg(F.count("*").alias("keys")).join(which, "node").filter(F.col("keys") >= F.greatest(F.lit(1), F.floor(F.col("n") / 20))).select("node")
         rest = met.select("key", "node").join(enough, "node")
         shared = rest.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
+        earlier.append(met)
         met = cut(rest.join(shared, "key"), "met")
+    drop(*earlier)
 
     # a family: what shares a key with its first node; large ones in several blocks
     family = met.groupBy("node").agg(F.min("first").alias("family"))
-    count = family.groupBy("family").agg(F.count("*").alias("members"))
-    active = cut(family.join(count, "family").join(which, "node"), "families")
-    n_active = active.count()
-    n_small = max(1, -(-n_active // BLOCK))
-    parts = F.ceil(F.col("members") / BLOCK)
-    shard = F.when(parts <= 1, F.pmod(F.xxhash64("family"), F.lit(n_small))).otherwise(n_small + F.pmod(F.xxhash64("family", F.pmod(F.xxhash64("node"), parts)), F.lit(1 << 50)))
+    members = cut(family.join(which, "node"), "members")
+    count = cut(members.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")), "families")
+    parts = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))
+    total = count.agg(F.sum("members").alias("members"), F.sum("shingles").alias("shingles")).first()
+    n_active = total["members"] or 0
+    n_small = max(1, -(-n_active // BLOCK), -(-(total["shingles"] or 0) // BLOCK_SHINGLES))
+    large = cut(count.select("family", parts.alias("parts")).filter("parts > 1"), "large")
+    active = attach(members, large, "family", spread="node", how="left")
+    shard = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("family"), F.lit(n_small))).otherwise(n_small + F.pmod(F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("parts"))), F.lit(1 << 50)))
     placed = cut(active.select("node", "family", "row_key", "n", shard.alias("shard")), "placed")
     heads = placed.select("family", "shard").distinct().select(F.col("family").alias("node"), "family", "shard")
     first = placed.select("node", "family", "shard").unionByName(heads).distinct().select("*", F.lit(True).alias("indexed"), F.lit(True).alias("asked"), F.col("node").alias("label"))
@@ -341,10 +352,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     open_keys = met.select("key", "node").join(known.select("node", "shard", "label"), "node").groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("shard").alias("s1"), F.max("shard").alias("s2")).filter("l1 < l2 and s1 < s2").select("key")
     left = cut(met.select("key", "node").join(open_keys, "key").join(known, "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))), "left")
     if not left.isEmpty():
-        there = left.select("key", F.col("band").alias("band2"), F.col("shard").alias("to"), F.col("label").alias("label2")).distinct().groupBy("key", "band2", "to").agg(F.min("label2").alias("low"), F.max("label2").alias("high"))
+        # what two nodes of different blocks share are open keys alone, so as many of these as a link needs
+        enough = F.greatest(F.lit(1), F.floor(F.col("n") / 20))
+        there = left.select("key", F.col("band").alias("band2"), F.col("shard").alias("to"), F.col("label").alias("label2")).groupBy("key", "band2", "to").agg(F.min("label2").alias("low"), F.max("label2").alias("high"))
         met_by = (F.col("to") < F.col("shard")) & (F.abs(F.col("band") - F.col("band2")) <= 1) & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))
-        guests = cut(left.join(there, "key").filter(met_by).select("node", "label", "to").distinct(), "guests")
-        rooms = guests.groupBy("to").agg(F.ceil(F.count("*") / (2 * BLOCK)).alias("rooms"))
+        some = left.join(left.groupBy("node").agg(F.count("*").alias("keys"), F.min("n").alias("n")).filter(F.col("keys") >= enough).select("node"), "node")
+        guests = cut(some.join(there, "key").filter(met_by).select("node", "n", "label", "to", "key").distinct().groupBy("node", "n", "label", "to").agg(F.count("*").alias("keys")).filter(F.col("keys") >= enough).select("node", "n", "label", "to"), "guests")
+        rooms = cut(guests.groupBy("to").agg(F.ceil(F.greatest(F.count("*") / (2 * BLOCK), F.sum("n") / (2 * BLOCK_SHINGLES))).alias("rooms")), "rooms")
         room = F.pmod(F.xxhash64("node"), F.col("rooms"))
         asking = guests.join(rooms, "to").select("node", F.lit(None).cast("bigint").alias("family"), F.xxhash64("to", room).alias("shard"), F.lit(False).alias("indexed"), F.lit(True).alias("asked"), "label")
         owners = known.join(rooms, known["shard"] == rooms["to"]).withColumn("room", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rooms") - 1)))
@@ -352,8 +366,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
         more = _search(texts, hosts.unionByName(asking), k, rule)
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more.select("a", "b")))
 
-    named = described.select("id", "row_key", "n", "node").join(labels, "node", "left")
-    return named.select("id", "row_key", "n", F.coalesce("label", "node").alias("label"))
+    of_row = attach(described.select("id", "row_key", "n", "node"), labels, "node", spread="row_key", how="left")
+    named = cut(of_row.select("id", "row_key", "n", F.coalesce("label", "node").alias("label")), "named")
+    drop(described, met, members, count, large, placed, texts, left)
+    return named
 
 
 def _search(texts: DataFrame, places: DataFrame, k: int, rule: Threshold) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_VALUE, MULT, cut, mix, powers, slices, text_bytes
+from tessera.llm.common import BYTE_VALUE, MULT, SMALL, attach, cut, drop, mix, powers, slices, text_bytes
 
 _U = np.uint64
 _MOST = _U(0xFFFFFFFFFFFFFFFF)
@@ -25,8 +25,6 @@ _MOST = _U(0xFFFFFFFFFFFFFFFF)
 GROUP = 16_384
 #: Contexts of one task's share, about.
 SHARE = 4_096
-#: Row keys that may be broadcast to pick texts; of more, all texts are shuffled.
-SMALL = 500_000
 #: Bytes by which the coarse keys of such windows step.
 STEP = 25
 NO_BYTES = hashlib.sha256(b"").hexdigest()
@@ -163,7 +161,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     UTF-8 bytes. A text of at least span bytes that is there more than once goes whole. Null and empty texts have nothing
     to remove; repeated rows are copies of each other; other columns are ignored.
 
-    Copies become one class before texts are compared. Anchors and contexts are counted with map-side sums, only those
+    Copies become one class before texts are compared, and a task makes the anchors of a class once. Anchors and contexts are counted with map-side sums, only those
     that occur twice go on, and an anchor with more than GROUP different contexts is resolved by counting hashes of its
     windows instead of in one task: no cap, and no task gets a group that grows with the corpus."""
     w = span - k + 1
@@ -172,7 +170,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = rows.filter(F.col("n_bytes") >= span).groupBy("node").agg(F.count("*").alias("copies"), F.min("row_key").alias("row_key"), F.max("n_bytes").alias("n_bytes"))
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            new = []
+            for i, x in enumerate(batch.column(0).to_pylist()):
+                if x not in seen:
+                    new.append(i)
+                    seen.add(x)
+            batch = batch.take(pa.array(new, pa.int64()))
             data, off = text_bytes(batch.column(1))
             node = batch.column(0).to_numpy()
             for lo, hi in slices(off):
@@ -180,22 +185,25 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(node[lo + doc]), pa.array(pos.astype(np.int32))], names=["anchor", "context", "node", "pos"])
 
     texts = docs.select(node_of(F.col(text_col)).alias("node"), text.alias("text")).filter(F.octet_length("text") >= span)
-    anchors = texts.mapInArrow(anchor, "anchor bigint, context bigint, node bigint, pos int")
+    anchors = cut(texts.mapInArrow(anchor, "anchor bigint, context bigint, node bigint, pos int"), "anchors")
     place = F.xxhash64("node", "pos")
-    several = anchors.groupBy("anchor").agg(F.min(place).alias("p1"), F.max(place).alias("p2")).filter("p1 < p2").select("anchor")
-    twice = cut(anchors.join(cut(several, "several"), "anchor").distinct(), "twice")
-    kinds = twice.groupBy("anchor").agg((F.min("context") < F.max("context")).alias("mixed"))
-    shared = cut(twice.join(kinds, "anchor"), "shared")
+    several = cut(anchors.groupBy("anchor").agg(F.min(place).alias("p1"), F.max(place).alias("p2")).filter("p1 < p2").select("anchor"), "several")
+    twice = cut(attach(anchors, several, "anchor", spread="node").distinct(), "twice")
+    drop(anchors, several)
+    kinds = cut(twice.groupBy("anchor").agg((F.min("context") < F.max("context")).alias("mixed")), "kinds")
+    shared = cut(attach(twice, kinds, "anchor", spread="node").withColumn("ctx", F.xxhash64("anchor", "context")), "shared")
+    drop(twice, kinds)
 
     # an anchor's contexts: one that occurs twice covers all its occurrences; of the others, one occurrence each goes on
     contexts = cut(shared.filter("mixed").groupBy("anchor", "context").agg(F.min("node").alias("node"), F.min_by("pos", F.struct("node", "pos")).alias("pos"), (F.min(place) < F.max(place)).alias("twice")), "contexts")
-    sizes = contexts.groupBy("anchor").agg(F.count("*").alias("n_contexts"))
-    whole = shared.filter(~F.col("mixed")).select("node", "pos").unionByName(shared.filter("mixed").join(contexts.filter("twice").select("anchor", "context"), ["anchor", "context"]).select("node", "pos"))
+    sizes = cut(contexts.groupBy("anchor").agg(F.count("*").alias("n_contexts")), "sizes")
+    covered = cut(contexts.filter("twice").select(F.xxhash64("anchor", "context").alias("ctx")), "covered")
+    whole = shared.filter(~F.col("mixed")).select("node", "pos").unionByName(attach(shared.filter("mixed"), covered, "ctx", spread="node").select("node", "pos"))
     whole = whole.groupBy("node").agg(F.collect_set("pos").alias("whole"))
-    looked = contexts.join(sizes, "anchor").groupBy("node").agg(F.collect_list(F.struct("pos", "anchor", "context", "twice", (F.col("n_contexts") > GROUP).alias("many"))).alias("contexts"))
+    looked = attach(contexts, sizes, "anchor", spread="node").groupBy("node").agg(F.collect_list(F.struct("pos", "anchor", "context", "twice", (F.col("n_contexts") > GROUP).alias("many"))).alias("contexts"))
     wanted = looked.join(whole, "node", "full").join(classes.select("node", "row_key"), "node")
     source = docs.select(F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
-    few = shared.select("node").distinct().join(classes.select("node", "row_key"), "node").select("row_key").limit(SMALL + 1)
+    few = cut(shared.select("node").distinct().join(classes.select("node", "row_key"), "node").select("row_key"), "few")
     if few.count() <= SMALL:  # pick the texts before they are shuffled
         source = source.join(F.broadcast(few), "row_key", "left_semi")
     active = cut(wanted.join(source, "row_key").select("node", "text", "contexts", "whole"), "active", compression="zstd")
@@ -272,7 +280,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     finished = active.select("node", "text", "whole").join(spans_of, "node", "left").mapInArrow(finish, "node bigint, spans array<struct<start:bigint,end:bigint>>, n_removed bigint, n_spans bigint, kept_sha256 string").dropDuplicates(["node"])
     single = finished.join(classes.filter("copies = 1").select("node", "copies"), "node")
     double = classes.filter("copies > 1").select("node", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"), F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(NO_BYTES).alias("kept_sha256"), "copies")
-    return rows, cut(single.unionByName(double), "repeats")
+    repeats = cut(single.unionByName(double), "repeats")
+    drop(shared, contexts, sizes, covered, few, active)
+    return rows, repeats
 
 
 def _by_windows(crowded: DataFrame, span: int, k: int) -> DataFrame:
@@ -330,7 +340,7 @@ def _by_windows(crowded: DataFrame, span: int, k: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, k: int = 80) -> DataFrame:
     """A row for each row of docs: its id, n_bytes, n_removed, n_spans and kept_sha256 (lower-case hex, of what is kept)."""
     rows, classes = find_repeats(docs, id_col, text_col, span, k)
-    joined = rows.join(classes.drop("spans", "copies"), "node", "left")
+    joined = attach(rows, classes.drop("spans", "copies"), "node", spread="id", how="left")
     zero = F.lit(0).cast("bigint")
     return joined.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
 
