@@ -35,3 +35,28 @@ def test_payloads_come_back(spark, tmp_path):
     manifest = W.write_warc(pages, str(tmp_path / "w"))
     assert W.read_warc(manifest, str(tmp_path / "w"), with_payload=True).first()["payload"] == b"<b>one</b>"
     assert manifest.first()["n_records"] == 1
+
+
+def test_record_ids_are_unique_and_referred_to(spark, tmp_path):
+    import re
+
+    long = "<p>words</p>" * 20
+    rows = [("b", long), ("a b", long), ("c", "other " * 30), ("c", "other " * 30), ("d", "other " * 30), (None, long), (None, long), ("e", ""), ("e", "")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id string, url string, html string").repartition(2)
+    folder = str(tmp_path / "ids")
+    manifest = W.write_warc(pages, folder)
+    heads = []
+    for r in manifest.collect():
+        with open(r["path"], "rb") as f:
+            heads += [x.partition(b"\r\n\r\n")[0].decode() for x in W.read_archive(f)]
+    ids = [re.search("WARC-Record-ID: (.*)\r", h)[1] for h in heads]
+    assert len(set(ids)) == len(rows)
+    refers = [re.search("WARC-Refers-To: (.*)\r", h + "\r") for h in heads if "revisit" in h]
+    assert len(refers) == 2 and sum(x is not None for x in refers) == 1  # "c" is there twice, so "d" has a row to refer to alone
+    assert {x[1] for x in refers if x} <= set(ids)
+    got = {(r["row_id"], r["record_type"], r["refers_to"]) for r in W.read_warc(manifest, folder, id_type="string").collect()}
+    assert got == {("a b", "response", None), ("b", "revisit", "a b"), ("c", "response", None), ("d", "revisit", "c"), (None, "response", None), ("e", "response", None)}
+
+
+def test_object_store_paths():
+    assert W.open_store("file:///tmp/x")[1] == "/tmp/x" and W.open_store("/tmp/x")[1] == "/tmp/x"
