@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +13,23 @@ from pyspark.sql import functions as F
 _LOADED: dict = {}
 
 
+class Pieces:
+    """A sentencepiece model behind the two methods of a tokenizer that counting needs."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def encode_batch_fast(self, texts: list[str], add_special_tokens: bool = False) -> list:
+        return [SimpleNamespace(ids=ids) for ids in self.model.encode(texts, out_type=int)]
+
+    def encode(self, text: str, add_special_tokens: bool = False):
+        return SimpleNamespace(ids=self.model.encode(text, out_type=int))
+
+
 def load_tokenizer(path: str | None):
-    """The tokenizer of a .json file; None: byte_bpe_50k.json where public_tokenizers has it on this machine."""
+    """The tokenizer of a .json file or the sentencepiece model of a .model file; None: byte_bpe_50k.json where public_tokenizers has it on this machine."""
     if path not in _LOADED:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -23,10 +39,20 @@ def load_tokenizer(path: str | None):
 
             _LOADED[path] = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
         else:
-            _LOADED[path] = Tokenizer.from_file(path)
+            _LOADED[path] = Pieces(path) if path.endswith(".model") else Tokenizer.from_file(path)
     return _LOADED[path]
 
 
+def can_splice(tokenizer) -> bool:
+    """Whether texts may be cut at pre-token starts: there is no normaliser, the pre-tokenizer adds no space and never looks behind."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    if isinstance(tokenizer, Pieces) or tokenizer.normalizer is not None:
+        return False
+    first = tokenizer.pre_tokenizer
+    return isinstance(first, ByteLevel) and first.use_regex and not first.add_prefix_space and all(t.lstrip is t.rstrip is t.single_word is False for t in tokenizer.get_added_tokens_decoder().values())
+
+
 def _starts(encoding, base: int) -> dict[int, int]:
     """Where pre-tokens start, as characters of the whole text, with the index of their first token."""
     found, last = {}, object()
@@ -44,8 +70,11 @@ def encode_spliced(tokenizer, text: str, chunk: int = 65_536, overlap: int = 1_0
     be spliced: the left chunk has reached it from a true start, and what the right chunk finds from there on depends
     only on what follows, as the pre-tokenizer looks ahead but never behind and merges stay within a pre-token. Starts
     so close to the left chunk's end that the cut, or a special string across it, could have moved them don't count.
-    Without a common start, the overlap is doubled, in the end up to the whole rest of the text."""
+    Without a common start, the overlap is doubled, in the end up to the whole rest of the text. A tokenizer for which
+    this doesn't hold (can_splice) gets every text whole."""
     n = len(text)
+    if n <= chunk + overlap or not can_splice(tokenizer):
+        return tokenizer.encode(text, add_special_tokens=False).ids
     margin = 2 + max([8, *(len(t.content) for t in tokenizer.get_added_tokens_decoder().values())])
     overlap = max(overlap, 2 * margin)
     chunk = max(chunk, 2 * overlap)
@@ -81,7 +110,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text counts as empty, with 0 bytes and 0 tokens. Repeated rows and null ids stay rows of their own; other
     columns are ignored, whatever their names. Map-only: no shuffle, and the encodings of at most one chunk or one small
     batch are in memory."""
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(tokenizer_path)
