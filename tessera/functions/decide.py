@@ -261,25 +261,38 @@ QUESTIONS = {
 VECTOR_QUESTION = (("N", "net_reach"), ("A", "net_reach"), ("L", "loc_priv"), ("P", "phy_access"))
 
 
+#: The branch of the tree that an attack vector takes.
+BRANCH = {"N": "network", "A": "network", "L": "local", "P": "physical"}
+
+
 def walk_tree(av: Column, answers: dict[str, Column]) -> Column:
-    """(status, justification, pending): the end that nullable boolean answers lead to, or the question they stop at."""
+    """The end that nullable boolean answers lead to, or the question they stop at.
+
+    (status, justification, pending, path, av_branch, complete): path holds the questions passed, each with its answer
+    ("yes", "no", or the branch at the split by attack vector)."""
+    step = "array<struct<node:string,answer:string>>"
+    letter = F.upper(F.coalesce(av, F.lit("")))
+    branch = F.lit(None).cast("string")
+    for x, name in BRANCH.items():
+        branch = F.when(letter == x, name).otherwise(branch)
 
-    def end(status: str | None, why: str | None, pending: str | None) -> Column:
-        return F.struct(*(F.lit(v).cast("string").alias(n) for n, v in (("status", status), ("justification", why), ("pending", pending))))
+    def end(status: str | None, why: str | None, pending: str | None, path: list, complete: bool, along: Column) -> Column:
+        made = F.array(*(F.struct(F.lit(n).alias("node"), a.cast("string").alias("answer")) for n, a in path)).cast(step)
+        return F.struct(*(F.lit(v).cast("string").alias(n) for n, v in (("status", status), ("justification", why), ("pending", pending))), made.alias("path"), along.alias("av_branch"), F.lit(complete).alias("complete"))
 
-    def at(where) -> Column:
+    def at(where, path: list) -> Column:
         if isinstance(where, tuple):
-            return end(*where, None)
+            return end(*where, None, path, True, branch)
         if where == "av_split":
-            out = end("under_investigation", "attack_vector_unstated", None)
-            for letter, question in reversed(VECTOR_QUESTION):
-                out = F.when(F.upper(F.coalesce(av, F.lit(""))) == letter, at(question)).otherwise(out)
+            out = end("under_investigation", "attack_vector_unstated", None, [*path, (where, F.lit(None))], False, F.lit(None).cast("string"))
+            for x, question in reversed(VECTOR_QUESTION):
+                out = F.when(letter == x, at(question, [*path, (where, F.lit(BRANCH[x]))])).otherwise(out)
             return out
         no, yes = QUESTIONS[where]
         answer = answers.get(where, F.lit(None).cast("boolean"))
-        return F.when(answer.isNull(), end(None, None, where)).when(answer, at(yes)).otherwise(at(no))
+        return F.when(answer.isNull(), end(None, None, where, path, False, branch)).when(answer, at(yes, [*path, (where, F.lit("yes"))])).otherwise(at(no, [*path, (where, F.lit("no"))]))
 
-    return at("affected_range")
+    return at("affected_range", [])
 
 
 #: SSVC decisions by exploitation, exposure, automatable, for human impact low, medium, high, very high.
@@ -410,8 +423,13 @@ def two_signals(context: Column, code: Column) -> Column:
 
 
 def candidate_why(kev: Column, reach: Column, sev: Column, ready: Column) -> Column:
+    """What speaks for a candidate, in words; its status is ready with a code pair, else needs-code."""
+    return F.concat_ws("; ", F.when(ready, "code pair collected"), F.when(kev, "KEV (exploited in the wild)"), F.concat(F.lit("reachability="), reach), F.when(~blank(sev), F.concat(sev, F.lit(" severity"))))
+
+
+def candidate_status(ready: Column) -> Column:
     """D32."""
-    return F.concat_ws("; ", F.when(kev, "known exploited"), F.when(reach == "yes", "reachable"), F.when(sev.isin("critical", "high"), F.concat(sev, F.lit(" severity"))), F.when(ready, "fix commit known").otherwise("no fix commit"))
+    return F.when(ready, "ready").otherwise("needs-code")
 
 
 def language(component: Column) -> Column:

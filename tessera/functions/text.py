@@ -146,9 +146,15 @@ def ids(text: Column, kind: str) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1))))
 
 
+#: Fixed value: a vendor's label and the words that end it in an advisory's text, whose white space is single spaces.
+VENDOR_LABEL = r"Vendor:\s*([A-Za-z0-9 &.,\-/]+?)(?:\s+(?:Equipment|Product|Report|CVSS|Affected))"
+
+
 def vendor_label(text: Column, title: Column) -> Column:
-    """What follows a vendor label, else the title's first word."""
-    return F.coalesce(F.nullif(strip(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)vendors?\s*:\s*([^\n]+)", 1)), F.lit("")), F.get(F.split(strip(F.coalesce(title, F.lit(""))), r"\s+"), 0))
+    """What stands between a vendor label and the next label, else the title's first word."""
+    label = strip(F.regexp_extract(F.coalesce(text, F.lit("")), VENDOR_LABEL, 1))
+    first = F.get(F.split(strip(F.coalesce(title, F.lit(""))), r"\s+"), 0)
+    return F.when(label != "", label).otherwise(F.coalesce(first, F.lit("")))
 
 
 def snippet(text: Column, markers: list[str], most: int = 9000) -> Column:
@@ -196,21 +202,6 @@ def advisory_year(advisory: Column) -> Column:
     return F.lit(2000) + F.nullif(F.regexp_extract(advisory, r"-(\d{2})-", 1), F.lit("")).try_cast("int")
 
 
-def evidence_sentences(device: Column, cve: Column, av: Column, exposure: Column, kev: Column, epss: Column, sev: Column, has_code: Column) -> Column:
-    """The sentences of a finding that apply, each (id, text, kind)."""
-    made = [
-        ("identity", F.concat(F.lit("Device "), device, F.lit(" lists "), cve, F.lit(".")), F.lit(True)),
-        ("severity", F.concat(F.lit("Severity is "), sev, F.lit(".")), F.coalesce(sev, F.lit("")) != ""),
-        ("vector", F.concat(F.lit("The attack vector is "), av, F.lit(".")), F.coalesce(av, F.lit("")) != ""),
-        ("exposure", F.concat(F.lit("The asset is deployed as "), exposure, F.lit(".")), exposure.isNotNull()),
-        ("exploited", F.lit("The vulnerability is known to be exploited."), kev),
-        ("likelihood", F.format_string("The exploitation probability is %.2f.", epss), epss.isNotNull()),
-        ("code", F.lit("A vulnerable and fixed code pair is held."), has_code),
-    ]
-    kept = F.array_compact(F.array(*(F.when(F.coalesce(when, F.lit(False)), F.struct(text.alias("text"), F.lit(kind).alias("kind"))) for kind, text, when in made)))
-    return F.transform(kept, lambda s, i: F.struct(F.format_string("E%d", i + 1).alias("id"), s["text"].alias("text"), s["kind"].alias("kind")))
-
-
 def sentences(text: Column) -> Column:
     """Split after a full stop, exclamation or question mark before white space; trimmed."""
     return F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
@@ -296,9 +287,9 @@ def perturb(code: Column, key: Column) -> Column:
 
 
 def product_tokens(name: Column, stop_words: list[str]) -> Column:
-    """Words with a digit, or of at least four letters and not a stop word."""
-    tokens = F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "), " ")
-    return F.array_distinct(F.filter(tokens, lambda t: (t != "") & ~t.isin(stop_words) & (t.rlike("[0-9]") | (F.length(t) >= 4))))
+    """The words of a name that aren't stop words: of three characters at least with a digit, of five without."""
+    tokens = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", " ")), " ")
+    return F.filter(tokens, lambda t: ~t.isin(stop_words) & (F.length(t) >= F.when(t.rlike("[0-9]"), 3).otherwise(5)))
 
 
 def evidence_block(lines: list[Column]) -> Column:

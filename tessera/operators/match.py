@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.udf import similarity
+from tessera.functions.udf import best_of
 from tessera.operators.rollup import dedupe
 
 #: Rows of a reference side that may be sent to every executor.
@@ -49,14 +49,14 @@ def prioritised(df: DataFrame, sides: list[tuple[str, DataFrame, list[str]]], va
 def fuzzy(names: DataFrame, name: str, known: DataFrame, known_name: str, least: float = 0.7) -> DataFrame:
     """Each distinct name's most similar known name (the smallest of equals), its score, and whether that suffices.
 
-    Scored once for each distinct pair of a name and a known one; known must be a reference list, which is checked."""
-    targets = known.select(F.lower(known_name).alias("best_match")).filter("best_match is not null").distinct()
-    if targets.limit(SMALL + 1).count() > SMALL:
+    known must be a reference list, which is checked; it goes to every executor, where each distinct name meets only the
+    known ones whose shared letters can still win. Null names and an empty list have no match."""
+    targets = known.select(F.lower(known_name).alias("k")).filter("k is not null").distinct().limit(SMALL + 1).collect()
+    if len(targets) > SMALL:
         raise ValueError(f"the reference list has over {SMALL} names")
     distinct = names.select(F.lower(name).alias("query")).filter("query is not null").distinct()
-    scored = distinct.join(F.broadcast(targets), F.lit(True)).withColumn("score", similarity("query", "best_match"))
-    best = scored.groupBy("query").agg(F.max("score").alias("score"), F.min_by("best_match", F.struct(-F.col("score"), "best_match")).alias("best_match"))
-    return best.withColumn("matched", F.col("score") >= least)
+    best = distinct.withColumn("b", best_of([r["k"] for r in targets])("query")).filter("b.best_match is not null")
+    return best.select("query", F.col("b.score").alias("score"), F.col("b.best_match").alias("best_match"), (F.col("b.score") >= least).alias("matched"))
 
 
 def embedded_or_rest(matched: DataFrame, embedded: DataFrame, key: list[str]) -> DataFrame:
@@ -73,7 +73,8 @@ def compare_sets(got: DataFrame, want: DataFrame, group: list[str], item: str) -
 
 
 def related(advisories: DataFrame, assets: DataFrame, most: int = 150) -> DataFrame:
-    """Assets that name an advisory or share a CVE with it: (advisory, asset, exact, cves), exact ones first.
+    """Assets that name an advisory or share a CVE with it: (advisory, asset, exact, cves), of each advisory the
+    first `most`: exact ones first, then by shared CVEs and asset.
 
     advisories: (advisory, cves); assets: (asset, advisories, cves)."""
     exact = assets.select("asset", F.explode("advisories").alias("advisory")).withColumn("cve", F.lit(None).cast("string")).withColumn("exact", F.lit(True))
@@ -81,7 +82,8 @@ def related(advisories: DataFrame, assets: DataFrame, most: int = 150) -> DataFr
     shared = left.join(right, "cve").withColumn("exact", F.lit(False))
     both = exact.join(advisories.select("advisory"), "advisory").select("advisory", "asset", "cve", "exact").unionByName(shared.select("advisory", "asset", "cve", "exact"))
     grouped = both.groupBy("advisory", "asset").agg(F.bool_or("exact").alias("exact"), F.array_sort(F.collect_set("cve")).alias("cves"))
-    return grouped.orderBy("advisory", F.desc("exact"), F.desc(F.size("cves")), "asset").limit(most)
+    first = Window.partitionBy("advisory").orderBy(F.desc("exact"), F.desc(F.size("cves")), "asset")
+    return grouped.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).drop("_n")
 
 
 def latest_version(catalog: DataFrame, comp: str, version: str) -> DataFrame:

@@ -274,5 +274,5 @@ def csaf_documents(spark, sf_dir):
 
 @BOOK.add("inventory_documents")
 def inventory_documents(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_size <= 10").select(F.col("p_brand").alias("device"), F.col("p_partkey").cast("string").alias("ref"), F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("version"), F.lit(None).cast("string").alias("cpe"), F.concat(F.lit("pkg:generic/"), F.col("p_partkey").cast("string")).alias("purl"), F.array(F.concat(F.lit("CVE-2024-"), F.col("p_partkey").cast("string"))).alias("cves"))
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("device"), F.col("p_partkey").cast("string").alias("ref"), F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("version"), F.lit(None).cast("string").alias("cpe"), F.concat(F.lit("pkg:generic/"), F.col("p_partkey").cast("string")).alias("purl"), F.array(F.concat(F.lit("CVE-2024-"), F.col("p_partkey").cast("string"))).alias("cves"))
     return docs.inventory(p, "device", "2024-01-01T00:00:00Z")

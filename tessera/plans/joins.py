@@ -137,19 +137,18 @@ def set_operations(spark, sf_dir):
 
 @BOOK.add(
     "union_distinct_ids",
-    "SELECT k FROM (SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 9000 UNION SELECT c_nationkey FROM customer WHERE c_acctbal > 9900 UNION SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
+    "SELECT l_partkey AS k FROM lineitem UNION SELECT p_partkey FROM part UNION SELECT o_orderkey FROM orders",
 )
 def union_distinct_ids(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").filter("s_acctbal > 9000").select(F.col("s_nationkey").alias("k"))
-    c = table(spark, sf_dir, "customer").filter("c_acctbal > 9900").select("c_nationkey")
-    return s.union(c).union(table(spark, sf_dir, "nation").filter("n_regionkey = 1").select("n_nationkey")).distinct()
+    l, p, o = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
+    return l.select(F.col("l_partkey").alias("k")).union(p.select("p_partkey")).union(o.select("o_orderkey")).distinct()
 
 
 @BOOK.add(
     "version_or_union",
     """
     WITH cat AS (SELECT p_brand AS comp, p_size AS ver, p_type AS item, min(p_partkey) AS pos FROM part WHERE p_size % 3 <> 0 GROUP BY 1, 2, 3),
-    comp AS (SELECT DISTINCT p_brand AS comp, p_size AS ver FROM part WHERE p_partkey <= 400),
+    comp AS (SELECT DISTINCT p_brand AS comp, p_size AS ver FROM part),
     m AS (SELECT c.*, EXISTS (SELECT 1 FROM cat WHERE cat.comp = c.comp AND cat.ver = c.ver) AS pinned FROM comp c),
     u AS (SELECT comp, item, min(pos) AS pos FROM cat GROUP BY 1, 2)
     SELECT m.comp, m.ver, pinned, cat.item, cat.pos FROM m JOIN cat ON m.pinned AND cat.comp = m.comp AND cat.ver = m.ver
@@ -159,7 +158,7 @@ def union_distinct_ids(spark, sf_dir):
 def version_or_union(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     catalog = p.filter("p_size % 3 <> 0").groupBy(F.col("p_brand").alias("comp"), F.col("p_size").alias("ver"), F.col("p_type").alias("item")).agg(F.min("p_partkey").alias("pos"))
-    components = p.filter("p_partkey <= 400").select(F.col("p_brand").alias("comp"), F.col("p_size").alias("ver")).distinct()
+    components = p.select(F.col("p_brand").alias("comp"), F.col("p_size").alias("ver")).distinct()
     return match.version_or_all(components, catalog, "comp", "ver", "item", "pos").select("comp", "ver", "pinned", "item", "pos")
 
 
@@ -207,24 +206,25 @@ def inverted_index(spark, sf_dir):
 @BOOK.add(
     "related_assets",
     """
-    WITH adv AS (SELECT n_nationkey AS advisory, p_size AS cve FROM nation JOIN part ON p_partkey % 25 = n_nationkey WHERE p_partkey <= 200),
-    ast AS (SELECT s_suppkey AS asset, s_nationkey AS advisory, CAST(s_suppkey % 50 + 1 AS INTEGER) AS cve FROM supplier WHERE s_suppkey <= 60),
+    WITH adv AS (SELECT n_nationkey AS advisory, p_size AS cve FROM nation JOIN part ON p_partkey % 25 = n_nationkey),
+    ast AS (SELECT s_suppkey AS asset, s_nationkey AS advisory, CAST(s_suppkey % 50 + 1 AS INTEGER) AS cve FROM supplier),
     b AS (SELECT advisory, asset, NULL AS cve, true AS exact FROM ast WHERE advisory IN (SELECT advisory FROM adv) UNION ALL SELECT adv.advisory, ast.asset, adv.cve, false FROM adv JOIN ast ON adv.cve = ast.cve)
-    SELECT advisory, asset, bool_or(exact) AS exact, CAST(count(DISTINCT cve) AS BIGINT) AS n_cves FROM b GROUP BY 1, 2 ORDER BY advisory, exact DESC, n_cves DESC, asset LIMIT 150
+    SELECT advisory, asset, bool_or(exact) AS exact, CAST(count(DISTINCT cve) AS BIGINT) AS n_cves FROM b GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY advisory ORDER BY bool_or(exact) DESC, count(DISTINCT cve) DESC, asset) <= 150
     """,
 )
 def related_assets(spark, sf_dir):
-    adv = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "part").filter("p_partkey <= 200"), F.col("p_partkey") % 25 == F.col("n_nationkey")).groupBy(F.col("n_nationkey").alias("advisory")).agg(F.collect_set(F.col("p_size").cast("string")).alias("cves"))
-    ast = table(spark, sf_dir, "supplier").filter("s_suppkey <= 60").select(F.col("s_suppkey").alias("asset"), F.array("s_nationkey").alias("advisories"), F.array((F.col("s_suppkey") % 50 + 1).cast("string")).alias("cves"))
+    adv = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "part"), F.col("p_partkey") % 25 == F.col("n_nationkey")).groupBy(F.col("n_nationkey").alias("advisory")).agg(F.collect_set(F.col("p_size").cast("string")).alias("cves"))
+    ast = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asset"), F.array("s_nationkey").alias("advisories"), F.array((F.col("s_suppkey") % 50 + 1).cast("string")).alias("cves"))
     return match.related(adv, ast).select("advisory", "asset", "exact", F.size("cves").cast("bigint").alias("n_cves"))
 
 
 @BOOK.add("fuzzy_match")
 def fuzzy_match(spark, sf_dir):
-    """Distinct names against a perturbed reference list; Ratcliff-Obershelp has no SQL form."""
-    names = table(spark, sf_dir, "part").select("p_name")
-    known = names.distinct().orderBy("p_name").limit(12).select(F.concat(F.col("p_name"), F.lit(" x")).alias("known"))
-    return match.fuzzy(names, "p_name", known, "known")
+    """All part names with their types against all brands and types; Ratcliff-Obershelp has no SQL form."""
+    p = table(spark, sf_dir, "part")
+    names = p.select(F.concat_ws(" ", "p_type", "p_name").alias("name"))
+    known = p.select(F.concat_ws(" ", "p_type", "p_brand").alias("known"))
+    return match.fuzzy(names, "name", known, "known")
 
 
 @BOOK.add(
@@ -236,7 +236,13 @@ def latest_version(spark, sf_dir):
     return match.latest_version(v, "p_brand", "ver")
 
 
-@BOOK.add("schema_diff")
+@BOOK.add(
+    "schema_diff",
+    """
+    WITH c AS (SELECT table_name AS t, column_name AS field FROM information_schema.columns WHERE table_name IN ('documents', 'benchmark'))
+    SELECT field, CASE WHEN count(DISTINCT t) = 2 THEN 'both' WHEN min(t) = 'documents' THEN 'left' ELSE 'right' END AS side FROM c GROUP BY 1
+    """,
+)
 def schema_diff(spark, sf_dir):
     """ST7: fields that two tables have in common or alone."""
     a, b = table(spark, sf_dir, "documents").schema.fieldNames(), table(spark, sf_dir, "benchmark").schema.fieldNames()
@@ -250,6 +256,13 @@ def multi_key_sort(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").orderBy(*order).limit(400).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
+@BOOK.add("ids_descending", "SELECT c_custkey, row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR) DESC) AS place FROM customer ORDER BY CAST(c_custkey AS VARCHAR) DESC LIMIT 300")
+def ids_descending(spark, sf_dir):
+    """SO10: the first of all ids in descending order as strings, with their places."""
+    first = table(spark, sf_dir, "customer").select("c_custkey").orderBy(F.desc(F.col("c_custkey").cast("string"))).limit(300)
+    return first.withColumn("place", F.expr("row_number() OVER (ORDER BY CAST(c_custkey AS STRING) DESC)").cast("bigint"))
+
+
 @BOOK.add("override_overlay", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'fixed' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 20 = 0 THEN 'x' ELSE o_orderpriority END AS o_orderpriority FROM orders")
 def override_overlay(spark, sf_dir):
     from tessera.functions.decide import overlay

@@ -276,12 +276,12 @@ def weighted_counters(spark, sf_dir):
     "SELECT p_partkey, 'S' || lpad(CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS VARCHAR), 6, '0') AS sample_id FROM part",
 )
 def sequential_ids(spark, sf_dir):
-    """W1, in order of the key: counts before each range-partitioned part, then numbers within it; no single task sees all rows."""
-    parts = table(spark, sf_dir, "part").select("p_partkey").repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").withColumn("m", F.monotonically_increasing_id())
-    parts = parts.select("p_partkey", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("k"))
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return parts.join(F.broadcast(before), "part").select("p_partkey", F.concat(F.lit("S"), F.lpad((F.col("k") + F.col("before")).cast("string"), 6, "0")).alias("sample_id"))
+    """W1, in order of the key. Keys fall into ranges of a fixed width, so that ranges are the same whenever they are made;
+    how many keys earlier ranges have is a sum over ranges alone, and numbers within a range need that range alone."""
+    keys = table(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / (1 << 16)).alias("part"))
+    before = keys.groupBy("part").agg(F.count("*").alias("n")).select("part", F.expr("coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("before"))
+    numbered = keys.withColumn("k", F.expr("row_number() OVER (PARTITION BY part ORDER BY p_partkey) - 1"))
+    return numbered.join(before, "part").select("p_partkey", F.concat(F.lit("S"), F.lpad((F.col("k") + F.col("before")).cast("string"), 6, "0")).alias("sample_id"))
 
 
 @BOOK.add("lead_successor", "SELECT p_brand, p_size, lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) AS successor FROM (SELECT DISTINCT p_brand, p_size FROM part)")

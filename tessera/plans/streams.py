@@ -15,7 +15,12 @@ QUERIES, ORACLES = BOOK.queries, BOOK.oracles
 
 
 def _place(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-")
+    """A new folder that all executors share; one of this machine only for local sessions without such a setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

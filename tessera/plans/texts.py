@@ -21,9 +21,15 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", body.alias("body"), F.length(body).cast("bigint").alias("n_chars"))
 
 
-@BOOK.add("html_unescaped")
+@BOOK.add(
+    "html_unescaped",
+    r"""
+    WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS b FROM pages)
+    SELECT page_id, trim(regexp_replace(replace(replace(replace(b, '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', '"'), '&amp;?', '&', 'g')) AS body FROM t
+    """,
+)
 def html_unescaped(spark, sf_dir):
-    """With all entities; SQL has no table of them."""
+    """With all entities; the oracle knows those of the table's pages."""
     return table(spark, sf_dir, "pages").select("page_id", T.strip(unescape(T.html_to_text(F.col("html")))).alias("body"))
 
 
@@ -181,9 +187,15 @@ def version_tags(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tags, ";").alias("tags"), T.tag_matches(F.get(tags, 1), v).alias("fits"))
 
 
-@BOOK.add("uuid_and_digest", "SELECT c_custkey, sha256(c_name) AS digest, CAST(36 AS BIGINT) AS uuid_length, '5' AS uuid_version FROM customer")
+@BOOK.add(
+    "uuid_and_digest",
+    """
+    WITH d AS (SELECT c_custkey, c_name, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(c_name)) AS h FROM customer)
+    SELECT c_custkey, sha256(c_name) AS digest, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM d
+    """,
+)
 def uuid_and_digest(spark, sf_dir):
     from tessera.functions.hashing import uuid5
 
     u = uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("c_name"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.sha2("c_name", 256).alias("digest"), F.length(u).cast("bigint").alias("uuid_length"), F.substring(u, 15, 1).alias("uuid_version"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.sha2("c_name", 256).alias("digest"), u.alias("uuid"))

@@ -75,9 +75,15 @@ def test_similarity_is_difflibs(spark):
 
 
 def test_vulnerabilities_in_context(spark):
-    t = "CWE-1 then CWE-79 precede CVE-2024-1111 with a base score of 7.5. " + "x" * 900 + " CVE-2024-2222 and CVE-2024-1111 again"
+    t = (
+        "CWE-1 then CWE-79 precede. CVE-2024-1111 has been assigned to this vulnerability. A CVSS v3 base score of 7.5 has been calculated; the vector string is (CVSS:3.1/AV:N/AC:L). A CVSS v4 score with a base score of 8 has the vector string (AV:N/AC:L)."
+        + "x" * 900
+        + " CVE-2024-2222 is named alone. CVE-2024-3333  has been\nassigned. CWE-20 CVE-2024-1111 has been assigned again."
+    )
     got = spark.createDataFrame([(t,), (None,)], "t string").select(udf.parse_vulnerabilities("t").alias("v")).collect()
-    assert [tuple(v) for v in got[0]["v"]] == [("CVE-2024-1111", "CWE-79", 7.5), ("CVE-2024-2222", None, None)]
+    assert [tuple(v) for v in got[0]["v"]] == [("CVE-2024-1111", "CWE-20", None, "", None, ""), ("CVE-2024-3333", "", None, "", None, "")]
+    first = spark.createDataFrame([(t[:400],)], "t string").select(udf.parse_vulnerabilities("t").alias("v")).first()["v"]
+    assert [tuple(v) for v in first] == [("CVE-2024-1111", "CWE-79", 7.5, "CVSS:3.1/AV:N/AC:L", 8.0, "AV:N/AC:L")]
     assert got[1]["v"] == []
 
 

@@ -40,7 +40,7 @@ def test_small_decisions(spark):
     assert value(spark, decide.pick_metric(m31, none, none))["score"] == 2 and value(spark, decide.pick_metric(none, none, m31))["score"] == 2
     assert value(spark, decide.base_platform(F.array(F.lit("vxworks"), F.lit("linux")), {"linux": "Linux", "vxworks": "VxWorks"})) == "Linux"
     assert value(spark, decide.two_signals(F.lit(decide.AFFECTED), F.lit("patched"))) == decide.NOT_AFFECTED
-    assert value(spark, decide.candidate_why(F.lit(True), F.lit("yes"), F.lit("high"), F.lit(False))) == "known exploited; reachable; high severity; no fix commit"
+    assert value(spark, decide.candidate_why(F.lit(True), F.lit("yes"), F.lit("high"), F.lit(False))) == "KEV (exploited in the wild); reachability=yes; high severity"
     assert value(spark, decide.language(F.lit("spring"))) == "Java" and value(spark, decide.language(F.lit("zlib"))) == "C/C++"
     assert value(spark, decide.collection_outcome(F.lit(False), F.lit(True), F.lit(False))) == "fetch-failed"
     assert value(spark, decide.collectable(F.lit(None).cast("boolean"), F.lit(True))) is True
@@ -51,16 +51,14 @@ def test_small_decisions(spark):
 
 
 def test_more_text(spark):
-    assert value(spark, text.vendor_label(F.lit("Vendor: Acme Corp\nx"), F.lit("Other thing"))) == "Acme Corp"
+    assert value(spark, text.vendor_label(F.lit("x Vendor: Acme Corp Equipment: S7 Vulnerability: overflow"), F.lit("Other thing"))) == "Acme Corp"
     assert value(spark, text.vendor_label(F.lit("nothing"), F.lit("Other thing"))) == "Other"
     assert value(spark, text.url_has(F.lit("https://X/Commit/1"), ["/commit/"])) is True
-    assert value(spark, text.product_tokens(F.lit("The S7-1500 Series pump"), ["series"])) == ["s7", "1500", "pump"]
+    assert value(spark, text.product_tokens(F.lit("The S7-1500 Series pump"), ["series"])) == ["1500"]
     assert value(spark, text.evidence_block([F.lit("a"), F.lit(None).cast("string"), F.lit("b")])) == "a\nb"
     assert value(spark, text.html_escape(F.lit("<a & 'b'>"))) == "&lt;a &amp; &#39;b&#39;&gt;"
     assert value(spark, text.unescape_basic(F.lit("&lt;a&amp;lt;"))) == "<a&lt;"
     assert value(spark, text.vendor_key(F.lit("  GE-Vernova"))) == "ge" and value(spark, text.advisory_year(F.lit("icsa-14-269-01"))) == 2014
-    said = value(spark, text.evidence_sentences(F.lit("d"), F.lit("CVE-1"), F.lit("N"), F.lit("dmz-routable"), F.lit(True), F.lit(0.5), F.lit(None).cast("string"), F.lit(False)))
-    assert [s["kind"] for s in said] == ["identity", "vector", "exposure", "exploited", "likelihood"] and said[-1]["text"].endswith("0.50.")
     for key in "abcdef":
         changed = value(spark, text.perturb(F.lit("int buf;"), F.lit(key)))
         assert changed != "int buf;" and changed.replace("buffer", "buf").replace("// checked\n", "").strip() == "int buf;"
@@ -116,3 +114,34 @@ def test_marts_and_sets(spark):
 def test_sessions_plan(spark, tmp_path):
     events = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:10:00"), (1, "2024-01-01 02:00:00")], "user_id int, ts string").select("user_id", F.to_timestamp("ts").alias("ts"))
     assert sorted(r["n"] for r in feeds.sessions(events).collect()) == [1, 2]
+
+
+def test_evidence_sentences(spark):
+    import hashlib
+
+    from tessera.functions import sentences as S
+
+    none, yes, no = F.lit(None).cast("string"), F.lit(True), F.lit(False)
+    said = value(spark, S.evidence_sentences(F.lit("d"), F.lit("V"), F.lit("P"), F.lit("CVE-1"), F.lit("CWE-79"), F.lit("N"), F.lit("high"), F.lit(0.5), yes, F.lit("dmz-routable"), yes, yes, yes, F.lit(decide.AFFECTED)))
+    assert [s["kind"] for s in said] == ["cve_desc", "av", "kev", "epss", "product", "exposure", "present", "version_unknown", "exec_affected"]
+    assert said[0]["text"] == "CVE-1 is a high-severity cross-site scripting issue (CWE-79)." and said[3]["text"].endswith("0.50.")
+    pick = lambda pool, *seed: pool[int(hashlib.sha256("::".join(seed).encode()).hexdigest(), 16) % len(pool)]
+    assert said[1]["text"] == pick(S.VECTOR["N"], "av", "d", "CVE-1") and said[5]["text"] == pick(S.EXPOSURE["dmz-routable"], "exp", "d")
+    bare = value(spark, S.evidence_sentences(F.lit("d"), F.lit("V"), F.lit("P"), F.lit("CVE-1"), none, none, none, F.lit(None).cast("double"), no, F.lit("isolated-cell"), no, no, no, none))
+    assert [s["kind"] for s in bare] == ["cve_desc", "av_unstated", "kev_neg", "product", "exposure", "present", "version_unknown", "src_unavailable"]
+    assert bare[0]["text"] == "CVE-1 is a unrated an unspecified weakness issue (CWE-unknown)."
+
+
+def test_best_match_is_the_plain_argmax(spark):
+    import difflib
+    import random
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcde -") for _ in range(r.randint(0, 12)))
+    names, known = sorted({word() for _ in range(60)}), sorted({word() for _ in range(25)})
+    got = {x["query"]: x for x in match.fuzzy(spark.createDataFrame([(n,) for n in [*names, None]], "n string"), "n", spark.createDataFrame([(k,) for k in known], "k string"), "k").collect()}
+    for n in names:
+        want = max(((difflib.SequenceMatcher(None, n, k).ratio(), k) for k in known), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+        assert abs(got[n]["score"] - want[0]) < 1e-12 and got[n]["matched"] == (want[0] >= 0.7)
+        assert got[n]["best_match"] == min(k for k in known if difflib.SequenceMatcher(None, n, k).ratio() == want[0])
+    assert match.fuzzy(spark.createDataFrame([("x",)], "n string"), "n", spark.createDataFrame([], "k string"), "k").count() == 0
