@@ -66,6 +66,12 @@ def exposure_for(device: Column) -> Column:
     return out
 
 
+def checked_exposure(exposure: Column) -> Column:
+    """PF15: (exposure, error): an exposure outside the known ones is an error, null is none."""
+    known = exposure.isin(*EXPOSURES)
+    return F.struct(F.when(known, exposure).alias("exposure"), F.when(~known, F.concat(F.lit("unknown exposure: "), exposure)).alias("error"))
+
+
 def exposure_tier(exposure: Column) -> Column:
     out = F.lit(None).cast("int")
     for i, e in enumerate(EXPOSURES):
@@ -452,6 +458,16 @@ def collection_outcome(closed: Column, has_tag: Column, fetched: Column) -> Colu
     return F.when(closed, "closed-source").when(~has_tag, "no-tag").when(~fetched, "fetch-failed").otherwise("collected")
 
 
+def resolve_tag(candidates: Column, tags: Column, version: Column) -> Column:
+    """(tag, resolver): the first candidate among a repository's tags, else the shortest that ends in the version's tokens."""
+    from tessera.functions.text import tag_matches
+
+    exact = F.get(F.filter(candidates, lambda c: F.array_contains(tags, c)), 0)
+    loose = F.array_sort(F.transform(F.filter(tags, lambda t: tag_matches(t, version)), lambda t: F.struct(F.length(t).alias("n"), (F.array_position(tags, t)).alias("at"), t.alias("tag"))))
+    fuzzy = F.get(loose, 0)["tag"]
+    return F.struct(F.coalesce(exact, fuzzy).alias("tag"), F.when(exact.isNotNull(), "template").when(fuzzy.isNotNull(), "fuzzy").alias("resolver"))
+
+
 def collectable(available: Column, has_pair: Column) -> Column:
     """D37."""
     return F.coalesce(available, F.lit(False)) | F.coalesce(has_pair, F.lit(False))

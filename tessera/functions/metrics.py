@@ -48,9 +48,14 @@ def set_scores(df: DataFrame, got: str, want: str) -> DataFrame:
     return total.select(p.alias("prec"), r.alias("recall"), f1(p, r).alias("f1"), "mean_iou")
 
 
+def drop_of(base: str, changed: str) -> Column:
+    """M7: the mean drop, as an aggregate."""
+    return F.avg(F.col(base) - F.col(changed))
+
+
 def mean_drop(df: DataFrame, base: str, changed: str) -> DataFrame:
     """M7."""
-    return df.agg(F.avg(F.col(base) - F.col(changed)).alias("mean_drop"))
+    return df.agg(drop_of(base, changed).alias("mean_drop"))
 
 
 def safety(df: DataFrame, truth: str, guess: str, negative, undecided) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rollups", "joins", "decisions", "texts", "scores", "streams")
+MODULES = ("rollups", "joins", "decisions", "texts", "scores", "streams", "records")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -32,6 +32,11 @@ def first_path(spark: SparkSession, *paths: str) -> str:
     raise FileNotFoundError(", ".join(paths))
 
 
+def safe_name(name: Column) -> Column:
+    """PF17: whether a file's name stays within its folder."""
+    return F.coalesce(name != "", F.lit(False)) & ~F.coalesce(name.rlike(r"[/\\\\]|^\.\.?$|\x00"), F.lit(True))
+
+
 def keyed_json(spark: SparkSession, path: str, value: str, key: str = "key", drop: tuple[str, ...] = ()) -> DataFrame:
     """SRC1, SRC2, SRC18: a file that is one JSON object of records, as rows (key, its fields); sentinel keys are dropped.
 
