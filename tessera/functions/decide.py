@@ -453,9 +453,13 @@ def overlay(df: DataFrame, overrides: DataFrame, key: str, fields: list[str]) ->
     return joined.select(*(F.coalesce(f"saved_{c}", c).alias(c) if c in fields else F.col(c) for c in df.columns))
 
 
-def collection_outcome(closed: Column, has_tag: Column, fetched: Column) -> Column:
-    """D36."""
-    return F.when(closed, "closed-source").when(~has_tag, "no-tag").when(~fetched, "fetch-failed").otherwise("collected")
+def collection_outcome(closed: Column, has_tag: Column, fetched: Column, dry: Column | None = None, head_status: Column | None = None) -> Column:
+    """The state of a collected source; a dry run only asks for the archive's head, and no answer counts as there."""
+    done = F.when(fetched, "collected").otherwise("fetch-failed")
+    if dry is not None:
+        there = head_status.isNull() | head_status.isin(200, 302)
+        done = F.when(dry, F.when(there, "ok").otherwise(F.concat(F.lit("archive-"), head_status.cast("string")))).otherwise(done)
+    return F.when(closed, "closed-source").when(~has_tag, "no-tag").otherwise(done)
 
 
 def resolve_tag(candidates: Column, tags: Column, version: Column) -> Column:

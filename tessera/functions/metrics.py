@@ -98,3 +98,30 @@ def argmax_label(p: Column, labels: list[str]) -> Column:
 def perplexity(loss: Column) -> Column:
     """M15."""
     return F.exp(loss)
+
+
+def fold_scores(df: DataFrame, group: str, correct: str, folds: int = 5) -> DataFrame:
+    """The mean and deviation over folds of the share that is right; a group is in one fold as a whole."""
+    from tessera.functions.hashing import hash_mod
+
+    by = df.groupBy(hash_mod(["fold", F.col(group)], folds).alias("fold")).agg(F.avg(F.col(correct).cast("double")).alias("accuracy"))
+    return by.agg(F.count("*").alias("folds"), F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"))
+
+
+def tfidf_baseline(train: DataFrame, test: DataFrame, text: str, label: str, most: int = 5000, c: float = 4.0) -> DataFrame:
+    """Test with a prediction of a logistic regression over the TF-IDF of words and pairs of words, `most` of them.
+
+    Labels are numbers from 0 on. c: the inverse strength of the regularisation, as a sum over rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+
+    def tokens(df: DataFrame) -> DataFrame:
+        words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\w\w+)"), F.lit(1))
+        pairs = F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.col("_w")[i + 1]))
+        return df.withColumn("_w", words).withColumn("_t", F.concat("_w", pairs)).withColumn("_y", F.col(label).cast("double"))
+
+    rows = tokens(train)
+    n = max(1, rows.count())
+    steps = [CountVectorizer(inputCol="_t", outputCol="_c", vocabSize=most), IDF(inputCol="_c", outputCol="_i"), Normalizer(inputCol="_i", outputCol="_n"), LogisticRegression(featuresCol="_n", labelCol="_y", predictionCol="prediction", maxIter=100, regParam=1 / (c * n))]
+    return Pipeline(stages=steps).fit(rows).transform(tokens(test)).drop("_w", "_t", "_y", "_c", "_i", "_n", "rawPrediction", "probability")

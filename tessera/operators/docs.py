@@ -74,3 +74,70 @@ def cve_mart(findings: DataFrame) -> DataFrame:
 def summary(findings: DataFrame) -> DataFrame:
     """Counts of findings and CVEs by status in one row."""
     return findings.agg(F.count("*").alias("findings"), F.count_distinct("cve").alias("cves"), *(F.count_if(F.col("status") == s).alias(s.lower()) for s in decide.STATUS_RANK))
+
+
+def source_mart(findings: DataFrame, tier: str = "A") -> DataFrame:
+    """One row about the CVEs of a tier: totals, and counts by status, severity, reachability, weakness, vendor and type.
+
+    findings: (cve, tier, status, severity, reach, cwe, kev, has_code, vendor, device_type, pos). A CVE counts by its
+    worst row, the earliest of equals; vendors and types count their CVEs. The lists are sorted, most frequent first."""
+    rows = findings.filter(F.col("tier") == tier)
+    keep = F.struct("status", "severity", "reach", "kev", "has_code")
+    worst = rows.groupBy("cve").agg(F.max_by(keep, F.struct(decide.status_rank(F.col("status")), -F.col("pos"))).alias("w"), F.min_by("cwe", F.when(F.coalesce("cwe", F.lit("")) != "", F.col("pos"))).alias("cwe")).select("cve", "cwe", "w.*")
+    severity = F.when(F.col("severity").isin("critical", "high", "medium", "low"), F.col("severity")).otherwise("unrated")
+    totals = worst.agg(F.count("*").alias("total_cves"), F.count_if("has_code").alias("code_collected"), F.count_if(~F.col("has_code")).alias("pending_collection"), F.count_if("kev").alias("kev"), F.count_if(F.col("cwe").isNull()).alias("cwe_none"))
+
+    def counted(df: DataFrame, value: Column, name: str, n: Column = F.count("*")) -> DataFrame:
+        by = df.groupBy(value.alias("value")).agg(n.alias("n"))
+        return by.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "value"))), lambda x: F.struct(x["value"].alias("value"), (-x["less"]).alias("n"))).alias(name))
+
+    sides = [counted(worst, F.col("status"), "by_vex"), counted(worst, severity, "by_severity"), counted(worst, F.col("reach"), "by_reachability"), counted(worst.filter("cwe is not null"), F.col("cwe"), "top_cwe"), counted(rows, F.col("vendor"), "top_vendors", F.count_distinct("cve")), counted(rows, F.col("device_type"), "device_types", F.count_distinct("cve"))]
+    out = totals
+    for s in sides:
+        out = out.join(F.broadcast(s), F.lit(True))
+    return out.withColumn("top_vendors", F.slice("top_vendors", 1, 8))
+
+
+def identified(hits: DataFrame, key: str, timestamp: str) -> DataFrame:
+    """For each inventory a document of the CVEs identified in it, with counters by severity and their provenance.
+
+    hits: (key, cve, ref, name, version, method, pos, description, score, severity, vector, cwes array<int>); the columns
+    from description on come from metadata and are null without it."""
+    c = F.col
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "ref", "name", "version", "method")))
+    meta = [F.first(x).alias(x) for x in ("description", "score", "severity", "vector", "cwes")]
+    by = hits.groupBy(key, "cve").agg(ordered.alias("hits"), *meta)
+    url = F.concat(F.lit("https://nvd.nist.gov/vuln/detail/"), c("cve"))
+    source = F.struct(F.lit("NVD").alias("name"), url.alias("url"))
+    prop = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    vulnerability = F.struct(
+        F.concat(F.lit("vuln:"), c("cve")).alias("bom-ref"), c("cve").alias("id"), source.alias("source"), c("description"),
+        F.when(c("score").isNotNull(), F.array(F.struct(source.alias("source"), c("score"), c("severity"), F.coalesce("vector", F.lit("NOASSERTION")).alias("vector")))).alias("ratings"), F.when(F.size("cwes") > 0, c("cwes")).alias("cwes"),
+        F.struct(F.lit("in_triage").alias("state")).alias("analysis"),
+        F.transform("hits", lambda h: F.struct(h["ref"].alias("ref"), F.array(F.struct(h["version"].alias("version"), F.lit("affected").alias("status"))).alias("versions"))).alias("affects"),
+        F.array(prop("match:method", F.get("hits", 0)["method"]), prop("match:confidence", F.lit("high")), prop("match:metadata-source", F.when(c("description").isNotNull(), "nvd-api-2.0").otherwise("unavailable")), prop("match:affected-components", F.array_join(F.transform("hits", lambda h: F.concat(h["name"], F.lit("@"), h["version"])), ","))).alias("properties"),
+    )
+    totals = [F.count_if(F.lower("severity") == x).cast("string").alias(x) for x in ("critical", "high", "medium", "low")]
+    made = by.select(key, "cve", "severity", vulnerability.alias("v")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("cve", "v"))), lambda x: x["v"]).alias("list"), F.count("*").cast("string").alias("total"), *totals)
+    counters = F.array(prop("SBOM_CVE_TOTAL", c("total")), *(prop(f"SBOM_CVE_{x.upper()}", c(x)) for x in ("critical", "high", "medium", "low")))
+    doc = F.struct(F.lit("CycloneDX").alias("bomFormat"), F.struct(F.lit(timestamp).alias("timestamp"), F.array(F.struct(F.lit("operations").alias("phase"))).alias("lifecycles")).alias("metadata"), counters.alias("properties"), c("list").alias("vulnerabilities"))
+    return made.select(key, F.to_json(doc).alias("document"))
+
+
+def sample_record(n: Column, sentences: Column, verdict: Column, estimate: Column, route: Column, noisy: Column, tier: Column, has_code: Column) -> Column:
+    """A finding's record: the evidence-based statement, the route, the estimate where that leaves it open, and labels.
+
+    verdict, estimate and route are what decide.adjudicate, estimate and route give; noisy: the annotator's label."""
+    from tessera.functions.sentences import rationale
+
+    settled = verdict["evidence_tier"] == "execution-verified"
+    guess = lambda field: F.when(~settled, estimate[field])
+    clean = F.when(settled, verdict["status"]).otherwise(estimate["status"])
+    return F.struct(
+        F.format_string("S%06d", n).alias("sampleId"), tier.alias("tier"), verdict["status"].alias("vex_status"), verdict["justification"].alias("justification"), verdict["vocabulary"].alias("justification_vocabulary"), verdict["evidence_tier"].alias("evidence_tier"),
+        has_code.alias("code_evidence_available"), tier.isin("A", "C").alias("oss_attributed"), route["stages"].alias("route_stages"), route["terminal_model"].alias("route_terminal_model"),
+        guess("status").alias("estimated_status"), guess("justification").alias("estimated_justification"), guess("basis").alias("estimate_basis"), guess("confidence").alias("estimate_confidence"),
+        F.when(settled, verdict["status"]).otherwise(noisy).alias("label"), clean.alias("clean_label"), F.when(settled, "execution").otherwise("av-estimate").alias("label_source"), sentences.alias("sentences"),
+        F.when(settled, rationale(sentences, ("exec_affected", "exec_not_affected"))).otherwise(rationale(sentences, ("av", "exposure"))).alias("gold_rationale_ids"),
+        rationale(sentences, ("src_unavailable", "src_pending", "src_available", "version_unknown", "exec_affected", "exec_not_affected")).alias("primary_rationale_ids"),
+    )

@@ -367,3 +367,117 @@ def summary_counts(spark, sf_dir):
     c = F.col
     e = decide.estimate(c("av"), c("exposure"), c("av_source"), c("tier"), c("kev"))
     return docs.summary(decisions.findings(spark, sf_dir).select((c("o_orderkey") % 500).alias("cve"), e["status"].alias("status")))
+
+
+@BOOK.add(
+    "patch_commits",
+    """
+    WITH a AS (SELECT event_id % 500 AS cve, 0 AS prio, event_id AS pos, sha256(CAST(event_id % 40 AS VARCHAR)) AS sha FROM events WHERE event_id % 500 % 3 = 0 UNION ALL SELECT event_id % 500, 1, event_id, sha256(CAST(event_id % 30 AS VARCHAR)) FROM events WHERE event_id % 500 % 2 = 0),
+    u AS (SELECT * FROM a UNION ALL SELECT event_id % 500, 2, event_id, sha256('f' || event_id) FROM events WHERE event_id % 500 NOT IN (SELECT cve FROM a)),
+    o AS (SELECT cve, sha, min(prio * 1000000000 + pos) AS k FROM u GROUP BY 1, 2)
+    SELECT 'CVE-' || cve AS cve, substr(sha, 1, 20) AS sha, CAST(row_number() OVER (PARTITION BY cve ORDER BY k) - 1 AS INTEGER) AS place, list_element(['osv', 'nvd', 'search'], CAST(min(k) OVER (PARTITION BY cve) // 1000000000 AS INTEGER) + 1) AS resolver FROM o QUALIFY row_number() OVER (PARTITION BY cve ORDER BY k) <= 4
+    """,
+)
+def patch_commits(spark, sf_dir):
+    """Two sides together and a fallback for what neither knows."""
+    e = table(spark, sf_dir, "events")
+    c = F.col("event_id") % 500
+
+    def side(rows, digest):
+        return rows.select(F.concat(F.lit("CVE-"), c.cast("string")).alias("cve"), F.col("event_id").alias("pos"), F.lit("o/r").alias("repo"), F.substring(F.sha2(digest, 256), 1, 20).alias("sha"))
+
+    a, b = side(e.filter(c % 3 == 0), (F.col("event_id") % 40).cast("string")), side(e.filter(c % 2 == 0), (F.col("event_id") % 30).cast("string"))
+    f = side(e, F.concat(F.lit("f"), F.col("event_id").cast("string")))
+    return readers.patch_commits([("osv", a), ("nvd", b)], [("search", f)]).select("cve", "sha", "place", "resolver")
+
+
+@BOOK.add(
+    "collection_states",
+    "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'closed-source' WHEN event_id % 5 = 0 THEN 'no-tag' WHEN event_id % 2 = 0 THEN CASE event_id % 3 WHEN 0 THEN 'archive-404' ELSE 'ok' END WHEN event_id % 7 = 0 THEN 'fetch-failed' ELSE 'collected' END AS state FROM events",
+)
+def collection_states(spark, sf_dir):
+    """D36 with dry runs."""
+    k = F.col("event_id")
+    head = F.when(k % 3 == 0, 404).when(k % 3 == 1, 200)
+    return table(spark, sf_dir, "events").select("event_id", decide.collection_outcome(k % 11 == 0, k % 5 != 0, k % 7 != 0, k % 2 == 0, head).alias("state"))
+
+
+@BOOK.add(
+    "fold_scores",
+    f"WITH f AS (SELECT {hash_mod_sql("'fold::' || c_nationkey", 5)} AS fold, avg(CASE WHEN c_acctbal > 3000 THEN 1.0 ELSE 0 END) AS a FROM customer GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS folds, round(avg(a), 6) AS mean_accuracy, round(stddev_pop(a), 6) AS std_accuracy FROM f",
+)
+def fold_scores(spark, sf_dir):
+    """M16."""
+    s = metrics.fold_scores(table(spark, sf_dir, "customer").withColumn("right", F.col("c_acctbal") > 3000), "c_nationkey", "right")
+    return s.select("folds", F.round("mean_accuracy", 6).alias("mean_accuracy"), F.round("std_accuracy", 6).alias("std_accuracy"))
+
+
+@BOOK.add("tfidf_baseline")
+def tfidf_baseline(spark, sf_dir):
+    """Quality of labelled documents from their words, trained on three of four; SQL can't fit a model."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", "quality")
+    test = F.col("doc_id") % 4 == 0
+    return metrics.tfidf_baseline(d.filter(~test), d.filter(test), "text", "quality").select("doc_id", "quality", "prediction")
+
+
+@BOOK.add(
+    "source_mart",
+    f"""
+    WITH f AS (SELECT *, {decisions._REACH_SQL} AS reach, o_orderkey % 300 AS cve FROM {decisions._FINDINGS_SQL} WHERE tier = 'A'), s AS (SELECT *, CASE reach WHEN 'yes' THEN 'LIKELY_AFFECTED' WHEN 'no' THEN 'LIKELY_NOT_AFFECTED' ELSE 'UNDER_INVESTIGATION' END AS status FROM f),
+    w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY cve ORDER BY CASE status WHEN 'LIKELY_AFFECTED' THEN 3 WHEN 'UNDER_INVESTIGATION' THEN 2 ELSE 1 END DESC, o_orderkey) = 1)
+    SELECT CAST(count(*) AS BIGINT) AS total_cves, CAST(count(*) FILTER (o_orderkey % 8 = 0) AS BIGINT) AS code_collected, CAST(count(*) FILTER (kev) AS BIGINT) AS kev, (SELECT string_agg(v || ':' || n, ',' ORDER BY n DESC, v) FROM (SELECT status AS v, count(*) AS n FROM w GROUP BY 1)) AS by_vex,
+      (SELECT string_agg(v || ':' || n, ',' ORDER BY n DESC, v) FROM (SELECT split_part(device, ' ', 1) AS v, count(DISTINCT cve) AS n FROM s GROUP BY 1)) AS device_types FROM w
+    """,
+)
+def source_mart(spark, sf_dir):
+    """X7, with its lists as text."""
+    c = F.col
+    f = decisions.findings(spark, sf_dir).withColumn("e", decide.estimate(c("av"), c("exposure"), c("av_source"), c("tier"), c("kev")))
+    kind = F.substring_index("device", " ", 1)
+    m = docs.source_mart(f.select((c("o_orderkey") % 300).alias("cve"), "tier", c("e.status").alias("status"), F.lit("high").alias("severity"), c("e.reach").alias("reach"), c("av").alias("cwe"), "kev", (c("o_orderkey") % 8 == 0).alias("has_code"), kind.alias("vendor"), kind.alias("device_type"), c("o_orderkey").alias("pos")))
+    text = lambda name: F.array_join(F.transform(name, lambda x: F.concat(x["value"], F.lit(":"), x["n"].cast("string"))), ",")
+    return m.select("total_cves", "code_collected", "kev", text("by_vex").alias("by_vex"), text("device_types").alias("device_types"))
+
+
+@BOOK.add(
+    "identified_documents",
+    """
+    WITH h AS (SELECT l_suppkey AS device, 'CVE-' || l_partkey % 50 AS cve, l_partkey, l_orderkey * 10 + l_linenumber AS pos, l_partkey % 50 AS n FROM lineitem),
+    d AS (SELECT device, CAST(count(DISTINCT cve) AS BIGINT) AS total, CAST(count(DISTINCT CASE WHEN n % 4 = 1 THEN cve END) AS BIGINT) AS high FROM h GROUP BY 1)
+    SELECT device, total, high, 'in_triage' AS state FROM d
+    """,
+)
+def identified_documents(spark, sf_dir):
+    """Documents of identified CVEs parsed again: their counters, which must agree with their lists."""
+    n = F.col("l_partkey") % 50
+    none = F.lit(None)
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("device"), F.concat(F.lit("CVE-"), n.cast("string")).alias("cve"), F.col("l_partkey").cast("string").alias("ref"), F.lit("lib").alias("name"), F.lit("1").alias("version"), F.lit("cpe").alias("method"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.when(n % 4 == 1, "text").alias("description"), F.when(n % 4 == 1, 7.5).alias("score"), F.when(n % 4 == 1, "HIGH").alias("severity"), none.cast("string").alias("vector"), none.cast("array<int>").alias("cwes"))
+    schema = "properties array<struct<name:string,value:string>>, vulnerabilities array<struct<id:string,analysis:struct<state:string>,ratings:array<struct<severity:string>>>>"
+    d = docs.identified(hits, "device", "2024-01-01T00:00:00Z").select("device", F.from_json("document", schema).alias("d"))
+    said = lambda name: readers.property_value(F.col("d.properties"), name).cast("bigint")
+    listed = F.size(F.filter("d.vulnerabilities", lambda v: F.get(v["ratings"], 0)["severity"] == "HIGH"))
+    ok = (said("SBOM_CVE_TOTAL") == F.size("d.vulnerabilities")) & (said("SBOM_CVE_HIGH") == listed)
+    return d.select("device", F.when(ok, said("SBOM_CVE_TOTAL")).alias("total"), F.when(ok, said("SBOM_CVE_HIGH")).alias("high"), F.array_join(F.array_distinct("d.vulnerabilities.analysis.state"), ",").alias("state"))
+
+
+@BOOK.add(
+    "sample_records",
+    f"""
+    WITH f AS (SELECT *, {decisions._REACH_SQL} AS reach FROM {decisions._FINDINGS_SQL}), s AS (SELECT *, CASE reach WHEN 'yes' THEN 'LIKELY_AFFECTED' WHEN 'no' THEN 'LIKELY_NOT_AFFECTED' ELSE 'UNDER_INVESTIGATION' END AS est, tier = 'A' AND o_orderkey % 8 = 0 AS ran FROM f)
+    SELECT 'S' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS sample_id, CASE WHEN ran THEN 'LIKELY_AFFECTED' ELSE 'UNDER_INVESTIGATION' END AS vex_status, CASE WHEN ran THEN 'execution-verified' WHEN tier = 'A' THEN 'source-available-unverified' WHEN tier = 'C' THEN 'source-pending' ELSE 'source-unavailable' END AS evidence_tier,
+      CASE WHEN NOT ran THEN est END AS estimated_status, CASE WHEN ran THEN 'LIKELY_AFFECTED' ELSE est END AS clean_label, CASE WHEN ran THEN 'execution' ELSE 'av-estimate' END AS label_source, CASE WHEN ran THEN 'EXEC-1' WHEN av = '' THEN 'ASSET-2' ELSE 'CVE-2,ASSET-2' END AS gold FROM s
+    """,
+)
+def sample_records(spark, sf_dir):
+    """X8."""
+    c, none, k = F.col, F.lit(None).cast("string"), F.col("o_orderkey")
+    ran = (c("tier") == "A") & (k % 8 == 0)
+    f = decisions.findings(spark, sf_dir).withColumn("cve", F.concat(F.lit("CVE-"), k.cast("string")))
+    v = decide.adjudicate(c("tier"), c("tier") == "A", F.when(ran, True), none, none, none)
+    e = decide.estimate(c("av"), c("exposure"), c("av_source"), c("tier"), c("kev"))
+    f = f.withColumn("v", v).withColumn("e", e)
+    said = sentences.evidence_sentences(c("device"), F.lit("V"), c("device"), c("cve"), none, c("av"), none, F.lit(None).cast("double"), c("kev"), c("exposure"), c("tier") == "A", c("tier") == "C", ran, F.when(ran, c("v.status")))
+    noisy = decide.annotator_noise(c("e.status"), c("device"), c("cve"), c("e.reach"), none, F.lit(None).cast("double"))
+    r = docs.sample_record(k, c("s"), c("v"), c("e"), decide.route(c("tier") == "A"), noisy, c("tier"), c("tier") == "A")
+    f = f.withColumn("s", said).select(r.alias("r"))
+    return f.select(F.col("r.sampleId").alias("sample_id"), "r.vex_status", "r.evidence_tier", "r.estimated_status", "r.clean_label", "r.label_source", F.array_join("r.gold_rationale_ids", ",").alias("gold"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 from tessera.functions.decide import truth
@@ -151,6 +151,58 @@ def fix_commits(records: DataFrame) -> DataFrame:
     return refs.select("cve", "pos", commit_of(F.col("r.url")).alias("c")).filter("c is not null").select("cve", "pos", "c.*")
 
 
+def patch_commits(sides: list[tuple[str, DataFrame]], fallbacks: list[tuple[str, DataFrame]], most: int = 4) -> DataFrame:
+    """(cve, repo, sha, place, resolver): commits that fix a CVE, from all sides together, else from the first fallback.
+
+    Each side is (label, rows of cve, pos, repo, sha). A CVE's resolver is the first side that knows any commit; a commit
+    counts once by its repository and the first twelve digits of its hash; the first `most` of a CVE stay."""
+
+    def marked(label: str, rows: DataFrame, prio: int) -> DataFrame:
+        return rows.select("cve", "pos", "repo", "sha", F.lit(prio).alias("prio"), F.lit(label).alias("resolver"))
+
+    out = None
+    for prio, (label, rows) in enumerate(sides):
+        out = marked(label, rows, prio) if out is None else out.unionByName(marked(label, rows, prio))
+    for prio, (label, rows) in enumerate(fallbacks, len(sides)):
+        more = marked(label, rows, prio)
+        out = more if out is None else out.unionByName(more.join(out.select("cve").distinct(), "cve", "left_anti"))
+    order = F.struct("prio", "pos", "sha")
+    once = out.groupBy("cve", "repo", F.substring("sha", 1, 12).alias("head")).agg(F.min(F.struct("prio", "pos", "sha", "resolver")).alias("x")).select("cve", "repo", "x.*")
+    first = once.groupBy("cve").agg(F.array_sort(F.collect_list(F.struct("prio", "pos", "sha", "repo"))).alias("all"), F.min_by("resolver", order).alias("resolver"))
+    return first.select("cve", F.posexplode(F.slice("all", 1, most)).alias("place", "c"), "resolver").select("cve", "c.repo", "c.sha", "place", "resolver")
+
+
+def commit_files(bodies: DataFrame, column: str = "body") -> DataFrame:
+    """SRC28: the files of recorded answers about commits: (sha, file, patch)."""
+    kind = "sha string, files array<struct<filename:string,patch:string>>"
+    rows = bodies.select(F.from_json(column, kind).alias("d")).select("d.sha", F.explode("d.files").alias("f"))
+    return rows.select("sha", F.col("f.filename").alias("file"), F.col("f.patch").alias("patch"))
+
+
+def archive_members(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> DataFrame:
+    """SRC29: the regular files of zip and tar archives: (archive, member, size, content); content is null beyond most_bytes."""
+
+    def members(batches):
+        import io
+        import tarfile
+        import zipfile
+
+        import pandas as pd
+
+        for batch in batches:
+            for name, raw in zip(batch["path"], batch["content"], strict=True):
+                if zipfile.is_zipfile(io.BytesIO(raw)):
+                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                        some = [(i.filename, i.file_size, z.read(i) if i.file_size <= most_bytes else None) for i in z.infolist() if not i.is_dir()]
+                else:
+                    with tarfile.open(fileobj=io.BytesIO(raw)) as t:
+                        some = [(m.name, m.size, t.extractfile(m).read() if m.size <= most_bytes else None) for m in t if m.isfile()]
+                if some:
+                    yield pd.DataFrame([(name, *x) for x in some], columns=["archive", "member", "size", "content"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, size bigint, content binary")
+
+
 def build_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.BUILD_RUN).option("header", True).csv(path)
 
@@ -191,6 +243,68 @@ def paged_feed(feed: str, fetch) -> type[DataSource]:
     return Feed
 
 
+def with_retries(get, tries: int = 3, wait: float = 1.0, sleep=None):
+    """SRC22, SRC25: a function of an address that asks again after growing waits; None where the answer is that nothing is there.
+
+    get: a function of an address that gives (status, body); statuses of 400 and more but 404, and errors of the
+    connection, are tried again, the last one is raised."""
+    import time
+
+    def ask(address: str):
+        for n in range(tries):
+            try:
+                status, body = get(address)
+                if status == 404:
+                    return None
+                if status < 400:
+                    return body
+                error: Exception = OSError(f"{address}: {status}")
+            except OSError as e:
+                error = e
+            if n + 1 < tries:
+                (sleep or time.sleep)(wait * 2**n)
+        raise error
+
+    return ask
+
+
+def paged_stream(feed: str, fetch, page: int = 2000) -> type[DataSource]:
+    """SRC26, STR3: a streaming source named feed that reads page after page; its offset, the next row's index, is what a
+    restarted query goes on from.
+
+    fetch: a function of (start, size) that gives (total, rows of (id, body)); a page that can't be read ends the batch
+    and is asked for again with the next one."""
+
+    class Stream(SimpleDataSourceStreamReader):
+        def initialOffset(self) -> dict:
+            return {"start": 0}
+
+        def read(self, start: dict):
+            at = start["start"]
+            try:
+                total, rows = fetch(at, page)
+            except OSError:
+                return iter(()), start
+            return iter(rows), {"start": max(at, min(at + page, total))}
+
+        def readBetweenOffsets(self, start: dict, end: dict):
+            for at in range(start["start"], end["start"], page):
+                yield from fetch(at, min(page, end["start"] - at))[1]
+
+    class Feed(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return feed
+
+        def schema(self) -> str:
+            return "id string, body string"
+
+        def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+            return Stream()
+
+    return Feed
+
+
 def repositories(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """SRC30: the fixed dimension of upstream repositories."""
     return spark.createDataFrame(rows, "component string, repo string, tag_templates array<string>, closed boolean")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,3 +60,26 @@ def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append"
     query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(sink)
+
+
+def reload_marts(marts: dict[str, Callable[[], DataFrame]], place: str) -> dict[str, str]:
+    """STR6: every mart made anew; the folder of each. A mart's folder is new, so that readers keep what they have."""
+    out = {}
+    for name, build in marts.items():
+        path = f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        out[name] = path
+    return out
+
+
+def refine(rows: DataFrame, agrees: Callable[[DataFrame], Column], revise: Callable[[DataFrame, int], DataFrame], most: int = 2) -> DataFrame:
+    """STR7: rows that a critic doesn't agree with are revised, at most `most` times; rounds counts how often.
+
+    agrees: a condition on the rows; revise: the same columns, made anew for the round of a number."""
+    out = rows.withColumn("rounds", F.lit(0))
+    names = rows.columns
+    for n in range(most):
+        open_ = ~F.coalesce(agrees(out), F.lit(False))
+        new = revise(out.select(*names, "rounds", open_.alias("_open")), n)
+        out = new.withColumn("rounds", F.col("rounds") + F.col("_open").cast("int")).select(*names, "rounds")
+    return out

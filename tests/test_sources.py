@@ -77,3 +77,61 @@ def test_documents_parse(spark, sf_dir):
         assert all("justification" in s for s in doc["statements"] if s["status"] == "not_affected")
     doc = json.loads(QUERIES["csaf_documents"](spark, sf_dir).first()["document"])
     assert doc["document"]["category"] == "csaf_vex" and all(len(v["product_status"]) == 1 for v in doc["vulnerabilities"])
+
+
+def test_retries_and_missing_pages():
+    from tessera.sources.readers import with_retries
+
+    answers, waits = iter([(500, ""), (200, "body")]), []
+    assert with_retries(lambda _: next(answers), sleep=waits.append)("x") == "body" and waits == [1.0]
+    assert with_retries(lambda _: (404, ""))("x") is None
+    try:
+        with_retries(lambda _: (503, ""), sleep=waits.append)("x")
+        raise AssertionError
+    except OSError as e:
+        assert "503" in str(e)
+
+
+def test_paged_stream_goes_on_where_it_was(spark, tmp_path):
+    from tessera.sources.readers import paged_stream
+
+    feed = paged_stream("pages_of_numbers", lambda start, size: (7, [(str(i), f"b{i}") for i in range(start, min(start + size, 7))]), page=3)
+    spark.dataSource.register(feed)
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    for _ in range(2):
+        query = spark.readStream.format("pages_of_numbers").load().writeStream.format("parquet").option("path", out).option("checkpointLocation", check).start()
+        query.processAllAvailable()
+        query.stop()
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [str(i) for i in range(7)]
+
+
+def test_archives_and_commits(spark, tmp_path):
+    import io
+    import json
+    import tarfile
+    import zipfile
+
+    from tessera.sources import readers
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("d/one.c", "int a;")
+    with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as t:
+        info = tarfile.TarInfo("two.c")
+        info.size = 3
+        t.addfile(info, io.BytesIO(b"abc"))
+    got = {(r["member"], r["size"], bytes(r["content"])) for r in readers.archive_members(spark, str(tmp_path)).collect()}
+    assert got == {("d/one.c", 6, b"int a;"), ("two.c", 3, b"abc")}
+    body = json.dumps({"sha": "abc", "files": [{"filename": "x.c", "patch": "@@"}]})
+    assert [tuple(r) for r in readers.commit_files(spark.createDataFrame([(body,)], "body string")).collect()] == [("abc", "x.c", "@@")]
+
+
+def test_reload_and_refine(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.streaming import feeds
+
+    paths = [feeds.reload_marts({"m": lambda n=n: spark.range(n)}, str(tmp_path))["m"] for n in (2, 5)]
+    assert [spark.read.parquet(p).count() for p in paths] == [2, 5]
+    rows = spark.range(5).withColumn("x", F.col("id"))
+    done = feeds.refine(rows, lambda d: F.col("x") >= 3, lambda d, n: d.withColumn("x", F.when(F.col("_open"), F.col("x") + 1).otherwise(F.col("x"))))
+    assert [(r["x"], r["rounds"]) for r in done.orderBy("id").collect()] == [(2, 2), (3, 2), (3, 1), (3, 0), (4, 0)]
