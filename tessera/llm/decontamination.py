@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from tessera.llm.common import cut, grams, slices, text_bytes, words
+from tessera.llm.common import cut, grams, slices, text_bytes, tune, words
 
 #: Bytes of a word, after A-Z are lower-cased: digits, letters, and all of any character beyond ASCII.
 WORD_BYTES = np.zeros(256, bool)
@@ -133,6 +133,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     usual case and needs no shuffle; with more, each document's hits in each block are merged by a row number made before
     the blocks, and the broadcast of a block is released once its hits are written."""
     spark = docs.sparkSession
+    tune(spark)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("words_of"), F.coalesce(F.length(item_text_col), F.lit(0)).alias("n"))
     total = items.agg(F.sum("n")).first()[0] or 0
     whole = [F.struct("*").alias("row")] if with_row else []

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tune
+
 _LOADED: dict = {}
 
 
@@ -110,6 +112,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text counts as empty, with 0 bytes and 0 tokens. Repeated rows and null ids stay rows of their own; other
     columns are ignored, whatever their names. Map-only: no shuffle, and the encodings of at most one chunk or one small
     batch are in memory."""
+    tune(docs.sparkSession)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

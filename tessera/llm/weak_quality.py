@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, grams, mix, slices, text_bytes, words
+from tessera.llm.common import LOWER, grams, mix, slices, text_bytes, tune, words
 
 #: Function words of the languages the stop-word labeller knows.
 STOP_WORDS = "the of and to a in is it that for on are as with at be this from by le la les de des et en un une du est que qui dans pour par pas der die das und zu von mit ist den ein eine nicht sich auf el los las y que una por con para se al como".split()
@@ -232,6 +232,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is fitted on at most max_rows different texts, those with the smallest hash, each once however many copies it has:
     the documented bound of its sample."""
     spark = docs.sparkSession
+    tune(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
