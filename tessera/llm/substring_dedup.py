@@ -21,7 +21,7 @@ from tessera.llm.common import BYTE_VALUE, MULT, SMALL, attach, cut, drop, mix,
 
 _U = np.uint64
 _MOST = _U(0xFFFFFFFFFFFFFFFF)
-#: Contexts of one anchor text that one task compares; anchors with more are told apart by their windows' hashes.
+#: Contexts of one anchor text that one task compares; anchors with more are divided by longer keys.
 GROUP = 16_384
 #: Contexts of one task's share, about.
 SHARE = 4_096
@@ -162,8 +162,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     to remove; repeated rows are copies of each other; other columns are ignored.
 
     Copies become one class before texts are compared, and a task makes the anchors of a class once. Anchors and contexts are counted with map-side sums, only those
-    that occur twice go on, and an anchor with more than GROUP different contexts is resolved by counting hashes of its
-    windows instead of in one task: no cap, and no task gets a group that grows with the corpus."""
+    that occur twice go on, and an anchor with more than GROUP different contexts is divided by longer keys (_crowded): no
+    cap, and no task gets a group that grows with the corpus."""
     w = span - k + 1
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut(docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha256"), F.xxhash64(F.col(id_col), text).alias("row_key")).withColumn("node", F.xxhash64("sha256")), "rows")
@@ -247,7 +247,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_buckets = max(1, -(-contexts.count() // SHARE))
     partial = cut_out(False).groupBy(F.pmod(F.xxhash64("anchor"), F.lit(n_buckets))).applyInArrow(search, "node bigint, start bigint, end bigint")
     if not sizes.filter(F.col("n_contexts") > GROUP).isEmpty():
-        partial = partial.unionByName(_by_windows(cut(cut_out(True).dropDuplicates(["anchor", "context"]), "crowded"), span, k))
+        partial = partial.unionByName(_crowded(cut(cut_out(True).dropDuplicates(["anchor", "context"]), "crowded"), span, k, search))
     spans_of = partial.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -285,11 +285,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows, repeats
 
 
-def _by_windows(crowded: DataFrame, span: int, k: int) -> DataFrame:
-    """(node, start, end) of repeats among contexts of crowded anchors, by counting hashes of windows.
+def _crowded(crowded: DataFrame, span: int, k: int, search) -> DataFrame:
+    """(node, start, end) of repeats among contexts of crowded anchors.
 
-    First coarse keys: two windows that are equal share STEP * i bytes before the anchor and what the rest of a window is
-    less a step after it, for some i. Only windows under a key that two contexts have are hashed and counted in turn."""
+    Such an anchor is divided by coarse keys: two windows that are equal share STEP * i bytes before the anchor and what
+    the rest of a window is less a step after it, for some i, so that their contexts meet under one key at least. The
+    contexts of a key are scanned for intervals as those of an anchor are; a key that more than GROUP contexts have, as a
+    passage of nearly a window's length in very many surroundings gives one, is resolved by counting its windows."""
     w = span - k + 1
     n_keys = (w - 1) // STEP + 1
     crowded = crowded.withColumn("ctx", F.xxhash64("anchor", "context"))
@@ -306,10 +308,21 @@ def _by_windows(crowded: DataFrame, span: int, k: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["key", "ctx", "i"])
 
-    keys = crowded.select("ctx", "anchor", "lefts", "rights").mapInArrow(coarse, "key bigint, ctx bigint, i bigint")
-    both = keys.groupBy("key").agg(F.min("ctx").alias("c1"), F.max("ctx").alias("c2")).filter("c1 < c2").select("key")
-    chosen = keys.join(both, "key").groupBy("ctx").agg(F.collect_set("i").alias("steps"))
-    open_ = cut(crowded.join(chosen, "ctx").select("ctx", "anchor", "lefts", "rights", "steps", "node", "pos", "twice"), "windows")
+    keys = cut(crowded.select("ctx", "anchor", "lefts", "rights").mapInArrow(coarse, "key bigint, ctx bigint, i bigint"), "coarse")
+    sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "coarse-sizes")
+    some = attach(keys, cut(sizes.filter(F.col("n") <= GROUP).select("key"), "divided"), "key", spread="ctx").select(F.col("key").alias("anchor"), "ctx")
+    divided = cut(some.join(crowded.drop("anchor", "context"), "ctx").withColumnRenamed("ctx", "context").select("anchor", "context", "node", "pos", "twice", "lefts", "rights"), "divided")
+    n_buckets = max(1, -(-divided.count() // SHARE))
+    found = divided.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(n_buckets))).applyInArrow(search, "node bigint, start bigint, end bigint")
+    wide = cut(sizes.filter(F.col("n") > GROUP).select("key"), "wide")
+    if not wide.isEmpty():
+        chosen = attach(keys, wide, "key", spread="ctx").groupBy("ctx").agg(F.collect_set("i").alias("steps"))
+        found = found.unionByName(_by_windows(cut(crowded.join(chosen, "ctx").select("ctx", "anchor", "lefts", "rights", "steps", "node", "pos", "twice"), "windows"), span, w))
+    return found
+
+
+def _by_windows(open_: DataFrame, span: int, w: int) -> DataFrame:
+    """(node, start, end) of windows that two contexts have, by counting their hashes at the steps that are open."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -48,7 +48,7 @@ def corpus(seed, n):
     return texts
 
 
-@pytest.mark.parametrize("seed, group", [(1, 1024), (2, 1024), (3, 2), (4, 2)])
+@pytest.mark.parametrize("seed, group", [(1, 1024), (2, 1024), (3, 2), (4, 2), (5, 12)])
 def test_matches_brute_force(spark, monkeypatch, seed, group):
     monkeypatch.setattr(S, "GROUP", group)
     texts = corpus(seed, 150)
