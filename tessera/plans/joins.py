@@ -30,8 +30,7 @@ def _drill(spark, sf_dir, dim, value, scope=None):
 
 @BOOK.add("drilldown_segment", _DRILL.format(_ORDERS, "c_mktsegment = (SELECT min(c_mktsegment) FROM customer)"))
 def drilldown_segment(spark, sf_dir):
-    first = table(spark, sf_dir, "customer").agg(F.min("c_mktsegment")).first()[0]
-    return _drill(spark, sf_dir, "segment", first)
+    return _drill(spark, sf_dir, "segment", table(spark, sf_dir, "customer").agg(F.min("c_mktsegment")).scalar())
 
 
 @BOOK.add("drilldown_status", _DRILL.format(_ORDERS, "o_orderstatus = 'P'"))
@@ -51,7 +50,7 @@ def drilldown_year(spark, sf_dir):
 
 @BOOK.add("drilldown_member", _DRILL.format(_ORDERS, "list_contains([n_name], (SELECT min(n_name) FROM nation))"))
 def drilldown_member(spark, sf_dir):
-    return _drill(spark, sf_dir, "nation", table(spark, sf_dir, "nation").agg(F.min("n_name")).first()[0])
+    return _drill(spark, sf_dir, "nation", table(spark, sf_dir, "nation").agg(F.min("n_name")).scalar())
 
 
 @BOOK.add("drilldown_unknown", _DRILL.format(_ORDERS, "false"))
@@ -74,7 +73,7 @@ def pagination(spark, sf_dir):
 
 @BOOK.add("point_lookup", "SELECT c_custkey, c_name FROM customer WHERE upper(c_name) = (SELECT upper(min(c_name)) FROM customer)")
 def point_lookup(spark, sf_dir):
-    key = table(spark, sf_dir, "customer").agg(F.upper(F.min("c_name"))).first()[0]
+    key = table(spark, sf_dir, "customer").agg(F.upper(F.min("c_name"))).scalar()
     return table(spark, sf_dir, "customer").filter(F.upper("c_name") == key).select("c_custkey", "c_name")
 
 

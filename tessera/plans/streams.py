@@ -32,7 +32,7 @@ def _events(spark, sf_dir):
 def stream_hourly_counts(spark, sf_dir):
     """Complete mode to memory-free Parquet isn't possible; each batch's updated counts are kept and the last one counts."""
     place = _place(spark)
-    counts = feeds.hourly_counts(_events(spark, sf_dir), "36500 days")
+    counts = feeds.hourly_counts(_events(spark, sf_dir), "7 days")
 
     def keep(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/out/number={number}")
@@ -44,6 +44,7 @@ def stream_hourly_counts(spark, sf_dir):
 
 @BOOK.add("stream_first_seen", "SELECT DISTINCT user_id FROM events")
 def stream_first_seen(spark, sf_dir):
+    """A user counts once ever, so every user's key is kept: the state grows with users, as the question asks."""
     place = _place(spark)
     return feeds.run_once(feeds.first_seen(_events(spark, sf_dir), "user_id", "36500 days"), f"{place}/out", f"{place}/check").select("user_id")
 
