@@ -62,6 +62,11 @@ def drop(*written: DataFrame) -> None:
 SMALL, SALT = 500_000, 8
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most SMALL rows."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
 def attach(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
     """rows joined with the one row of their key in table, a written table of a few numbers a row.
 
@@ -69,7 +74,7 @@ def attach(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str =
     SALT times, and rows meet them by key and the hash of their column `spread`: no key lands in one task."""
     if table.count() <= SMALL:
         return rows.join(F.broadcast(table), key, how)
-    salted = table.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("bigint"))
+    salted = table.withColumn("salt_", F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(SALT)))))
     return rows.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(SALT).cast("bigint"))).join(salted, [key, "salt_"], how).drop("salt_")
 
 
