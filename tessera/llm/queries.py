@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.llm import licenses
-from tessera.llm.common import cut
 from tessera.llm.decontamination import find_contamination
 from tessera.llm.jaccard_join import near_duplicates
 from tessera.llm.licenses import find_licenses
@@ -115,8 +114,8 @@ QUERIES["op3_weak_quality"] = op3_weak_quality
 
 
 def op9_image_copies(spark, sf_dir):
-    images = cut(render(_table(spark, sf_dir, "embeddings")), "images")
-    return find_image_copies(images).withColumnRenamed("id", "vec_id")
+    vectors = _table(spark, sf_dir, "embeddings").repartition(4 * spark.sparkContext.defaultParallelism, "vec_id")  # drawing takes longer than reading
+    return find_image_copies(render(vectors)).withColumnRenamed("id", "vec_id")
 
 
 QUERIES["op9_image_copies"] = op9_image_copies
