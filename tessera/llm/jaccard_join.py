@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SMALL, attach, cut, drop, grams, mix, slices, text_bytes, words
+from tessera.llm.common import SMALL, attach, cut, drop, grams, mix, slices, small, text_bytes, words
 
 #: Words are separated by the ASCII white space 0x20 and 0x09 to 0x0D alone.
 WORD_BYTES = np.ones(256, bool)
@@ -284,7 +284,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone, again = marked.filter("not stays").select("row_key"), marked.filter("stays and copies > 1").select("row_key")
 
     def side(keys: DataFrame) -> DataFrame:
-        return F.broadcast(keys) if keys.count() <= SMALL else keys
+        return small(cut(keys, "keys"))
 
     all_rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"))
     kept = all_rows.join(side(gone), "row_key", "left_anti")
@@ -318,14 +318,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     keys = described.filter("n > 0").select(F.explode("keys").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
     which = described.filter("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("n").alias("n"))
-    met = cut(keys.join(shared, "key").distinct(), "met")
+    shared = cut(shared, "shared")
+    met = cut(keys.join(small(shared), "key").distinct(), "met")
+    drop(shared)
     earlier = []
     for _ in range(2):  # what shares too few keys with all others together links with none of them
         enough = met.groupBy("node").agg(F.count("*").alias("keys")).join(which, "node").filter(F.col("keys") >= F.greatest(F.lit(1), F.floor(F.col("n") / 20))).select("node")
         rest = met.select("key", "node").join(enough, "node")
         shared = rest.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
-        earlier.append(met)
-        met = cut(rest.join(shared, "key"), "met")
+        shared = cut(shared, "shared")
+        earlier += [met, shared]
+        met = cut(rest.join(small(shared), "key"), "met")
     drop(*earlier)
 
     # a family: what shares a key with its first node; large ones in several blocks
@@ -350,7 +353,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     # keys whose nodes are in several components and blocks yet
     known = placed.join(labels, "node", "left").select("node", "shard", "n", F.coalesce("label", "node").alias("label"))
     open_keys = met.select("key", "node").join(known.select("node", "shard", "label"), "node").groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("shard").alias("s1"), F.max("shard").alias("s2")).filter("l1 < l2 and s1 < s2").select("key")
-    left = cut(met.select("key", "node").join(open_keys, "key").join(known, "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))), "left")
+    open_keys = cut(open_keys, "open")
+    left = cut(met.select("key", "node").join(small(open_keys), "key").join(known, "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))), "left")
     if not left.isEmpty():
         # what two nodes of different blocks share are open keys alone, so as many of these as a link needs
         enough = F.greatest(F.lit(1), F.floor(F.col("n") / 20))
@@ -368,7 +372,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
 
     of_row = attach(described.select("id", "row_key", "n", "node"), labels, "node", spread="row_key", how="left")
     named = cut(of_row.select("id", "row_key", "n", F.coalesce("label", "node").alias("label")), "named")
-    drop(described, met, members, count, large, placed, texts, left)
+    drop(described, met, members, count, large, placed, texts, left, open_keys)
     return named
 
 
