@@ -67,12 +67,13 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= SMALL else table
 
 
-def attach(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner", stay: bool = True) -> DataFrame:
     """rows joined with the one row of their key in table, a written table of a few numbers a row.
 
-    A table of at most SMALL rows is broadcast, so that rows stay where they are. Of a larger one each row is repeated
+    A table of at most SMALL rows is broadcast, so that rows stay where they are, unless stay is False: where tables grow
+    beyond that anyway, the plan is then the same at every size. Of a larger one each row is repeated
     SALT times, and rows meet them by key and the hash of their column `spread`: no key lands in one task."""
-    if table.count() <= SMALL:
+    if stay and table.count() <= SMALL:
         return rows.join(F.broadcast(table), key, how)
     salted = table.withColumn("salt_", F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(SALT)))))
     return rows.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(SALT).cast("bigint"))).join(salted, [key, "salt_"], how).drop("salt_")

@@ -188,10 +188,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     anchors = cut(texts.mapInArrow(anchor, "anchor bigint, context bigint, node bigint, pos int"), "anchors")
     place = F.xxhash64("node", "pos")
     several = cut(anchors.groupBy("anchor").agg(F.min(place).alias("p1"), F.max(place).alias("p2")).filter("p1 < p2").select("anchor"), "several")
-    twice = cut(attach(anchors, several, "anchor", spread="node").distinct(), "twice")
+    twice = cut(attach(anchors, several, "anchor", spread="node", stay=False).distinct(), "twice")
     drop(anchors, several)
     kinds = cut(twice.groupBy("anchor").agg((F.min("context") < F.max("context")).alias("mixed")), "kinds")
-    shared = cut(attach(twice, kinds, "anchor", spread="node").withColumn("ctx", F.xxhash64("anchor", "context")), "shared")
+    shared = cut(attach(twice, kinds, "anchor", spread="node", stay=False).withColumn("ctx", F.xxhash64("anchor", "context")), "shared")
     drop(twice, kinds)
 
     # an anchor's contexts: one that occurs twice covers all its occurrences; of the others, one occurrence each goes on
