@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.functions import decide
 from tessera.operators.rollup import joined_set
@@ -26,15 +27,38 @@ def openvex_statement() -> Column:
     )
 
 
-def openvex(rows: DataFrame, key: str, author: str, timestamp: str) -> DataFrame:
-    """One OpenVEX document in JSON for each key."""
-    by = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cve", openvex_statement().alias("s")))).alias("list"))
-    doc = F.struct(F.lit("https://openvex.dev/ns/v0.2.0").alias("@context"), F.concat(F.lit("urn:vex:"), F.col(key).cast("string")).alias("@id"), F.lit(author).alias("author"), F.lit(timestamp).alias("timestamp"), F.lit(1).alias("version"), F.transform("list", lambda x: x["s"]).alias("statements"))
+#: Statements of one document, about: a document is one value, which a task holds several times.
+STATEMENTS = 25_000
+
+
+def _parts(rows: DataFrame, key: str, body: Column, most: int) -> tuple[DataFrame, Column]:
+    """Rows (key, part_, product_id, x), x being cve and body, so that no part has many more than `most` rows; and a suffix for ids.
+
+    A key of at most `most` rows is part 0; of the others rows are dealt by their hash. Parts are dealt over as many tasks
+    as there may be of them, before they are collected: a task that collects holds all of its rows."""
+    n, sizes = F.col("n_"), rows.groupBy(F.col(key).alias("key_")).agg(F.count("*").alias("n_"))
+    counted = sizes.agg(F.sum("n_").alias("rows"), F.collect_list(F.when(n > most, F.struct("key_", "n_"))).alias("large")).first()
+    made = rows.select(key, "product_id", F.struct("cve", body.alias("v")).alias("x"))
+    if (counted["rows"] or 0) <= most:
+        return made.withColumn("part_", F.lit(0).cast("bigint")), F.lit("")
+    schema = StructType([StructField("key_", rows.schema[key].dataType), StructField("n_", LongType())])
+    large = rows.sparkSession.createDataFrame([tuple(r) for r in counted["large"]], schema)
+    part = F.coalesce(F.pmod(F.xxhash64("x"), F.ceil(n / most)), F.lit(0).cast("bigint"))
+    dealt = made.join(F.broadcast(large), F.col(key).eqNullSafe(F.col("key_")), "left").withColumn("part_", part).drop("key_", "n_")
+    suffix = F.when(F.col("part_") > 0, F.concat(F.lit(":"), (F.col("part_") + 1).cast("string"))).otherwise("")
+    return dealt.repartition(2 * -(-counted["rows"] // most), key, "part_"), suffix
+
+
+def openvex(rows: DataFrame, key: str, author: str, timestamp: str, most: int = STATEMENTS) -> DataFrame:
+    """One OpenVEX document in JSON for each key; several, each whole and with its own @id, for a key of over `most` rows."""
+    dealt, suffix = _parts(rows, key, openvex_statement(), most)
+    by = dealt.groupBy(key, "part_").agg(F.array_sort(F.collect_list("x")).alias("list"))
+    doc = F.struct(F.lit("https://openvex.dev/ns/v0.2.0").alias("@context"), F.concat(F.lit("urn:vex:"), F.col(key).cast("string"), suffix).alias("@id"), F.lit(author).alias("author"), F.lit(timestamp).alias("timestamp"), F.lit(1).alias("version"), F.transform("list", lambda x: x["v"]).alias("statements"))
     return by.select(key, F.to_json(doc).alias("document"))
 
 
-def csaf(rows: DataFrame, key: str, publisher: str, timestamp: str) -> DataFrame:
-    """One CSAF VEX document in JSON for each key."""
+def csaf(rows: DataFrame, key: str, publisher: str, timestamp: str, most: int = STATEMENTS) -> DataFrame:
+    """One CSAF VEX document in JSON for each key; several, each whole and with its own id, for a key of over `most` rows."""
     c, status = F.col, F.col("status")
     ids = F.array("product_id")
     vulnerability = F.struct(
@@ -44,8 +68,9 @@ def csaf(rows: DataFrame, key: str, publisher: str, timestamp: str) -> DataFrame
         F.when(status == "affected", F.array(F.struct(decide.csaf_remediation(c("remediation")).alias("category"), F.coalesce(c("action_statement"), F.concat(F.lit("Apply update for "), c("component"))).alias("details"), ids.alias("product_ids")))).when(c("fixed_version").isNotNull(), F.array(F.struct(F.lit("vendor_fix").alias("category"), F.concat(F.lit("Fixed in "), c("fixed_version")).alias("details"), ids.alias("product_ids")))).alias("remediations"),
         F.array(F.struct(F.lit("impact").alias("category"), F.concat(F.lit("SSVC "), c("decision"), F.lit(" | "), c("ssvc_vector")).alias("details"), ids.alias("product_ids"))).alias("threats"),
     )
-    by = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("cve", vulnerability.alias("v")))).alias("list"), F.array_sort(F.collect_set("product_id")).alias("products"))
-    tracking = F.struct(F.concat(F.lit("TESSERA-"), F.col(key).cast("string")).alias("id"), F.lit("final").alias("status"), F.lit("1").alias("version"), F.lit(timestamp).alias("initial_release_date"), F.lit(timestamp).alias("current_release_date"))
+    dealt, suffix = _parts(rows, key, vulnerability, most)
+    by = dealt.groupBy(key, "part_").agg(F.array_sort(F.collect_list("x")).alias("list"), F.array_sort(F.collect_set("product_id")).alias("products"))
+    tracking = F.struct(F.concat(F.lit("TESSERA-"), F.col(key).cast("string"), suffix).alias("id"), F.lit("final").alias("status"), F.lit("1").alias("version"), F.lit(timestamp).alias("initial_release_date"), F.lit(timestamp).alias("current_release_date"))
     doc = F.struct(F.struct(F.lit("csaf_vex").alias("category"), F.lit("2.0").alias("csaf_version"), F.struct(F.lit("vendor").alias("category"), F.lit(publisher).alias("name")).alias("publisher"), tracking.alias("tracking")).alias("document"), F.struct(F.transform("products", lambda p: F.struct(p.alias("product_id"), p.alias("name"))).alias("full_product_names")).alias("product_tree"), F.transform("list", lambda x: x["v"]).alias("vulnerabilities"))
     return by.select(key, F.to_json(doc).alias("document"))
 

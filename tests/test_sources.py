@@ -79,6 +79,22 @@ def test_documents_parse(spark, sf_dir):
     assert doc["document"]["category"] == "csaf_vex" and all(len(v["product_status"]) == 1 for v in doc["vulnerabilities"])
 
 
+def test_large_documents_come_in_parts(spark, sf_dir):
+    from tessera.plans.decisions import statements
+
+    rows = statements(spark, sf_dir).withColumn("product", F.when(F.col("product") != "hmi", F.col("product"))).cache()
+    n = rows.filter("product is null").count()
+    for make, field, id_of in ((docs.openvex, "statements", lambda d: d["@id"]), (docs.csaf, "vulnerabilities", lambda d: d["document"]["tracking"]["id"])):
+        whole = [(r["product"], json.loads(r["document"])) for r in make(rows, "product", "tessera", "2024").collect()]
+        parts = [(r["product"], json.loads(r["document"])) for r in make(rows, "product", "tessera", "2024", most=20).collect()]
+        said = lambda some: sorted((k or "", json.dumps(s)) for k, d in some for s in d[field])
+        assert len({k for k, _ in whole}) == len(whole) and said(parts) == said(whole)
+        assert max(len(d[field]) for _, d in parts) <= 50 and len(parts) >= -(-rows.count() // 50)
+        ids = [id_of(d) for k, d in parts if k]
+        assert len(set(ids)) == len(ids) and {k: id_of(d) for k, d in whole if k}.items() <= {k: min((id_of(d) for j, d in parts if j == k), key=len) for k, _ in parts if k}.items()
+        assert n > 20 and sum(len(d[field]) for k, d in parts if k is None) == n
+
+
 def test_retries_and_missing_pages():
     from tessera.sources.readers import with_retries
 
