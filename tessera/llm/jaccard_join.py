@@ -319,7 +319,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
     which = described.filter("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("n").alias("n"))
     shared = cut(shared, "shared")
-    met = cut(keys.join(small(shared), "key").distinct(), "met")
+    met = cut(attach(keys, shared, "key", spread="node", stay=False).distinct(), "met")  # one plan at every size
     drop(shared)
     earlier = []
     for _ in range(2):  # what shares too few keys with all others together links with none of them
@@ -328,7 +328,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
         shared = rest.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
         shared = cut(shared, "shared")
         earlier += [met, shared]
-        met = cut(rest.join(small(shared), "key"), "met")
+        met = cut(attach(rest, shared, "key", spread="node", stay=False), "met")
     drop(*earlier)
 
     # a family: what shares a key with its first node; large ones in several blocks
@@ -354,7 +354,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     known = placed.join(labels, "node", "left").select("node", "shard", "n", F.coalesce("label", "node").alias("label"))
     open_keys = met.select("key", "node").join(known.select("node", "shard", "label"), "node").groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("shard").alias("s1"), F.max("shard").alias("s2")).filter("l1 < l2 and s1 < s2").select("key")
     open_keys = cut(open_keys, "open")
-    left = cut(met.select("key", "node").join(small(open_keys), "key").join(known, "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))), "left")
+    left = cut(attach(met.select("key", "node"), open_keys, "key", spread="node").join(known, "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))), "left")
     if not left.isEmpty():
         # what two nodes of different blocks share are open keys alone, so as many of these as a link needs
         enough = F.greatest(F.lit(1), F.floor(F.col("n") / 20))
