@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tessera.llm.common import SMALL, attach, cut, drop, mix, tune
-from tessera.llm.jaccard_join import by_component, components
+from tessera.llm.jaccard_join import Groups, by_component, components
 
 BITS, RADIUS = 256, 13
 #: Hamming tables, the bytes of a descriptor that each reads, and the orders in which an image's first two keys make one.
 TABLES, KEY_BYTES, ORDERS = 16, 6, 16
+#: The weight of keys (a double key's is two) from which on two images are held against each other.
+ENOUGH = 2
+#: Images of one block of the search, and corners of all of them, about.
+BLOCK, BLOCK_CORNERS = 512, 1 << 18
 #: Pixels of a cell's side, its strongest corners that are kept, and pixels of the side of what is looked at together.
 CELL, PER_CELL, TILE = 32, 6, 512
 SCALES = (1.0, 1.3, 1.7)
@@ -219,13 +223,11 @@ def find_image_copies(images: DataFrame, id_col: str = "id", image_col: str = "i
     each, under one similarity transform: cropped, turned, scaled, noisy or brightened copies do. As all corners of such
     images are compared, a few shared keys find a pair: tests hold at least 0.9 of the links that all pairs would give.
 
-    The images of a key are paired if they are three at most, and with the first and the last of them if they are more;
-    images that are paired by two keys are held against each other. Beside keys of one descriptor there are, for several
-    orders of an image's keys, those of the first two together, which pair by themselves: images that share most of their
-    keys meet so even if a third of all images share each of these. So a key costs at most two pairs an image however many share
-    it, none is dropped, and a large group of copies is tied together by its shared keys. What may be missed are images
-    of different content that have a common mark and no key but those of many more images: they are one class if most
-    pairs of such images link, but not through chance links of a few of these pairs.
+    Images that share two keys are held against each other, unless other links have made them one class before. Beside
+    keys of one descriptor there are, for several orders of an image's keys, those of the first two together, which count
+    twice. The search goes block by block (_verify): a key that many images have is looked at whole, none is dropped, and
+    a large group of copies costs a few rows an image as long as its images link with its first. Images of different
+    content with keys in common are all compared, as many as they are.
     Null, empty and undecodable images have no corners and link with nothing; repeated rows keep a row each and null ids
     are never the smallest; other columns are ignored."""
     id_type = images.schema[id_col].dataType
@@ -259,68 +261,169 @@ def find_image_copies(images: DataFrame, id_col: str = "id", image_col: str = "i
 
 
 def _candidates(found: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of images that are to be held against each other. found: (node, codes)."""
+    """(node, n_corners, family, keys) of the images that share keys of weight two or more: those keys, and with which image
+    the search begins. found: (node, n_corners, codes)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out = []
+            for codes in batch.column(2).to_pylist():
                 keys = table_keys(np.frombuffer(codes, np.uint8).reshape(-1, BITS // 8))
-                all_keys = np.unique(np.concatenate([keys & ~_U(1), double_keys(keys) | _U(1)]))  # double keys are odd
-                yield pa.RecordBatch.from_arrays([pa.array(all_keys.view(np.int64)), pa.array(np.full(len(all_keys), node, np.int64))], names=["key", "node"])
-
-    keys = cut(found.select("node", "codes").mapInArrow(emit, "key bigint, node bigint"), "keys")
-    shared = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1"), "shared")
-    weight = F.col("key").bitwiseAND(F.lit(1)) + 1
-    full = cut(shared.filter("n > 2").select("key", "low", "high"), "full")
-    made = [shared.select(F.col("low").alias("a"), F.col("high").alias("b"), weight.alias("weight"))]
-    if full.count() <= SMALL:
-        made.append(_tied(keys, full))
-    else:
-        crowd = attach(keys, full, "key", spread="node").filter("low < node and node < high")
-        made += [crowd.select(x.alias("a"), y.alias("b"), weight.alias("weight")) for x, y in ((F.col("low"), F.col("node")), (F.col("node"), F.col("high")))]
-    pairs = cut(reduce(DataFrame.unionByName, made).groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter("weight > 1").select("a", "b"), "pairs")
-    drop(keys, shared, full)
-    return pairs
-
-
-def _tied(keys: DataFrame, full: DataFrame) -> DataFrame:
-    """(a, b, weight): each image with the first and the last of its full keys, summed over an image's keys where they lie.
-
-    full: at most SMALL rows, which are broadcast. An image has hundreds of keys, most of them with the same first image,
-    so that summing before anything leaves the task makes a few rows an image of what a join would give."""
-    rows = np.array([tuple(r) for r in full.select("key", "low", "high").collect()], np.int64).reshape(-1, 3)
-    table = keys.sparkSession.sparkContext.broadcast(rows[np.argsort(rows[:, 0])])
-
-    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
-        for batch in batches if len(known) else ():
-            key, node = (batch.column(c).to_numpy() for c in ("key", "node"))
-            at = np.minimum(np.searchsorted(known[:, 0], key), len(known) - 1)
-            low, high = known[at, 1], known[at, 2]
-            keep = (known[at, 0] == key) & (low < node) & (node < high)
-            low, node, high, weight = low[keep], node[keep], high[keep], (key[keep] & 1) + 1
-            pairs, which = np.unique(np.stack([np.concatenate([low, node]), np.concatenate([node, high])], 1), axis=0, return_inverse=True)
-            total = np.bincount(which.ravel(), np.tile(weight, 2), len(pairs)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(total)], names=["a", "b", "weight"])
-
-    return keys.mapInArrow(tie, "a bigint, b bigint, weight bigint")
-
-
-def _verify(pairs: DataFrame, found: DataFrame, hamming: int, least: int) -> DataFrame:
-    """The pairs whose corners agree in place."""
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                p, q = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float32).reshape(-1, 4) for c in ("points_a", "points_b"))
-                c, d = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8).reshape(-1, BITS // 8) for c in ("codes_a", "codes_b"))
-                i_, j_ = match(c, d, hamming)
-                keep.append(len(i_) >= least and consensus(p[i_], q[j_], enough=least) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = {s: found.select(F.col("node").alias(s), F.col("points").alias(f"points_{s}"), F.col("codes").alias(f"codes_{s}")) for s in "ab"}
-    return pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(agree, "a bigint, b bigint")
+                out.append(np.unique(np.concatenate([keys & ~_U(1), double_keys(keys) | _U(1)])).view(np.int64))  # double keys are odd
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(out)], names=["node", "n_corners", "keys"])
+
+    lists = cut(found.select("node", "n_corners", "codes").mapInArrow(emit, "node bigint, n_corners bigint, keys array<bigint>"), "keys")
+    shared = cut(lists.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1").select("key", "first"), "shared")
+    met = cut(_having(lists, shared), "met")
+    drop(lists, shared)
+    return met
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]).astype(np.int64)))
+
+
+def _having(lists: DataFrame, table: DataFrame) -> DataFrame:
+    """(node, n_corners, family, keys) of lists: an image's keys that are in table (key, first), if they weigh two or more.
+
+    family: the smallest of the first images with which an image has at least half as much in common as with any of them.
+    Of at most SMALL keys, the table is broadcast, so that images keep their rows; else keys are joined one by one."""
+
+    def rows(batch: pa.RecordBatch, known: np.ndarray | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        flat = batch.column(2).flatten().to_numpy()
+        edge = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
+        if known is None:
+            first, hit = batch.column(3).flatten().to_numpy(), np.ones(len(flat), bool)
+        else:
+            at = np.minimum(np.searchsorted(known[:, 0], flat), len(known) - 1)
+            first, hit = known[at, 1], known[at, 0] == flat
+        for node, n, lo, hi in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), edge, edge[1:], strict=False):
+            yield node, n, flat[lo:hi][hit[lo:hi]], first[lo:hi][hit[lo:hi]]
+
+    def pick(known: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches if known is None or len(known) else ():
+            out = []
+            for node, n, keys, first in rows(batch, known):
+                weight = (keys & 1) + 1
+                if weight.sum() >= ENOUGH:
+                    which, at = np.unique(first, return_inverse=True)
+                    total = np.bincount(at, weight)
+                    out.append((node, n, int(which[np.argmax(2 * total >= total.max())]), np.sort(keys)))
+            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), _lists(list(cols[3]))], names=["node", "n_corners", "family", "keys"])
+
+    schema = "node bigint, n_corners bigint, family bigint, keys array<bigint>"
+    if table.count() <= SMALL:
+        pairs = np.array([tuple(r) for r in table.collect()], np.int64).reshape(-1, 2)
+        sent = lists.sparkSession.sparkContext.broadcast(pairs[np.argsort(pairs[:, 0])])
+        return lists.select("node", "n_corners", "keys").mapInArrow(lambda batches: pick(sent.value, batches), schema)
+    both = attach(lists.select("node", "n_corners", F.explode("keys").alias("key")), table, "key", spread="node").groupBy("node", "n_corners").agg(F.collect_list(F.struct("key", "first")).alias("both"))
+    return both.select("node", "n_corners", "both.key", "both.first").mapInArrow(lambda batches: pick(None, batches), schema)
+
+
+def link_images(keys: list[np.ndarray], images: list[tuple[np.ndarray, np.ndarray]], groups: Groups, indexed: np.ndarray, asked: np.ndarray, guess: np.ndarray, hamming: int, least: int) -> list[tuple[int, int]]:
+    """Links between asked and indexed images of different groups, until the groups are what all links make of them.
+
+    Each two of different groups that share keys of weight two or more are held against each other, those that share most
+    first; guess: for each image one (or -1) that is tried before. Pairs of one group need no test, as their link would
+    join nothing. images: (points, codes)."""
+    n = len(keys)
+    every, owner = np.concatenate([*keys, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(n), [len(k) for k in keys])
+    by = np.argsort(every, kind="stable")
+    every, owner = every[by], owner[by]
+    edges: list[tuple[int, int]] = []
+
+    def agree(q: int, y: int) -> None:
+        (p, c), (r, d) = images[q], images[y]
+        i, j = match(c, d, hamming)
+        if len(i) >= least and consensus(p[i], r[j], enough=least) >= least and groups.join(q, y):
+            edges.append((q, y))
+
+    for q in np.flatnonzero(asked & (guess >= 0)).tolist():
+        g = int(guess[q])
+        if groups.root[q] != groups.root[g] and ((np.intersect1d(keys[q], keys[g], assume_unique=True) & 1) + 1).sum() >= ENOUGH:
+            agree(q, g)
+    for q in np.flatnonzero(asked).tolist():
+        open_ = indexed & (groups.root != groups.root[q])
+        if indexed[q]:
+            open_[q:] &= ~asked[q:]  # met when they are asked themselves
+        if not open_.any():
+            continue
+        begin, end = np.searchsorted(every, keys[q], "left"), np.searchsorted(every, keys[q], "right")
+        counts = end - begin
+        at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        total = np.bincount(owner[at], np.repeat((keys[q] & 1) + 1, counts), n)
+        found = np.flatnonzero((total >= ENOUGH) & open_)
+        for y in found[np.argsort(-total[found], kind="stable")].tolist():
+            if groups.root[y] != groups.root[q]:
+                agree(q, y)
+    return edges
+
+
+def _verify(met: DataFrame, found: DataFrame, hamming: int, least: int) -> DataFrame:
+    """(a, b), a < b: links whose components are those of all links between images that share keys of weight two or more.
+
+    Families meet in blocks of bounded size, large ones with their first image in every block. Then, for keys whose images
+    are in several components and blocks yet, each image goes to the blocks of the others. So a key that many images have
+    costs a row for each block where it is open, and not one for each pair."""
+    count = cut(met.groupBy("family").agg(F.count("*").alias("members"), F.sum("n_corners").alias("corners")), "families")
+    parts = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("corners") / BLOCK_CORNERS))
+    total = count.agg(F.sum("members").alias("members"), F.sum("corners").alias("corners")).first()
+    n_small = max(1, -(-(total["members"] or 0) // BLOCK), -(-(total["corners"] or 0) // BLOCK_CORNERS))
+    large = cut(count.select("family", parts.alias("parts")).filter("parts > 1"), "large")
+    active = attach(met.select("node", "n_corners", "family"), large, "family", spread="node", how="left")
+    shard = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("family"), F.lit(n_small))).otherwise(n_small + F.pmod(F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("parts"))), F.lit(1 << 50)))
+    placed = cut(active.select("node", "n_corners", "family", shard.alias("shard")), "placed")
+    heads = placed.select("family", "shard").distinct().select(F.col("family").alias("node"), "family", "shard")
+    first = placed.select("node", "family", "shard").unionByName(heads).distinct().select("*", F.lit(True).alias("indexed"), F.lit(True).alias("asked"), F.col("node").alias("label"))
+    made = _search(met, found, first, hamming, least)
+    links = made.filter("key is null").select("a", "b")
+    labels = components(links)
+
+    # keys whose images are in several components and blocks yet
+    of_key = attach(made.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("shard")), labels, "node", spread="key", how="left").withColumn("label", F.coalesce("label", "node"))
+    open_keys = cut(of_key.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("shard").alias("s1"), F.max("shard").alias("s2")).filter("l1 < l2 and s1 < s2").select("key", F.lit(0).cast("bigint").alias("first")), "open")
+    known = cut(placed.join(labels, "node", "left").select("node", "n_corners", "shard", F.coalesce("label", "node").alias("label")), "known")
+    left = cut(_having(met, open_keys).select("node", "keys").join(known, "node").select("node", "n_corners", "shard", "label", F.explode("keys").alias("key")), "left")
+    there = left.groupBy("key", F.col("shard").alias("to")).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    met_by = (F.col("to") < F.col("shard")) & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))
+    weight = F.sum(F.col("key").bitwiseAND(F.lit(1)) + 1)
+    guests = cut(left.join(there, "key").filter(met_by).groupBy("node", "n_corners", "label", "to").agg(weight.alias("weight")).filter(F.col("weight") >= ENOUGH), "guests")
+    if not guests.isEmpty():
+        rooms = cut(guests.groupBy("to").agg(F.ceil(F.greatest(F.count("*") / (2 * BLOCK), F.sum("n_corners") / (2 * BLOCK_CORNERS))).alias("rooms")), "rooms")
+        room = F.pmod(F.xxhash64("node"), F.col("rooms"))
+        none = F.lit(None).cast("bigint").alias("family")
+        asking = guests.join(rooms, "to").select("node", none, F.xxhash64("to", room).alias("shard"), F.lit(False).alias("indexed"), F.lit(True).alias("asked"), "label")
+        owners = known.join(rooms, known["shard"] == rooms["to"]).withColumn("room", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rooms") - 1)))
+        hosts = owners.select("node", none, F.xxhash64("to", "room").alias("shard"), F.lit(True).alias("indexed"), F.lit(False).alias("asked"), "label")
+        links = links.union(_search(met, found, hosts.unionByName(asking), hamming, least, summed=False).select("a", "b"))
+    drop(count, large, placed, open_keys, known, left)
+    return links
+
+
+def _search(met: DataFrame, found: DataFrame, places: DataFrame, hamming: int, least: int, summed: bool = True) -> DataFrame:
+    """(key, a, b): links (null, a, b) found in each shard and, if summed, its keys, each once for every group that has it,
+    with the group's first image and the shard. places: (node, family, shard, indexed, asked, label)."""
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, indexed, asked, label = (np.asarray(table[c].to_numpy(zero_copy_only=False)) for c in ("node", "indexed", "asked", "label"))
+        place = {n: i for i, n in enumerate(node.tolist())}
+        guess = np.array([place.get(f, -1) for f in table["family"].to_pylist()], np.int64)
+        keys = [np.array(x, np.int64) for x in table["keys"].to_pylist()]
+        images = [(np.frombuffer(p, np.float32).reshape(-1, 4), np.frombuffer(c, np.uint8).reshape(-1, BITS // 8)) for p, c in zip(table["points"].to_pylist(), table["codes"].to_pylist(), strict=True)]
+        groups = Groups(label.astype(np.int64))
+        edges = np.array(link_images(keys, images, groups, indexed.astype(bool), asked.astype(bool), guess, hamming, least), np.int64).reshape(-1, 2)
+        ends = np.sort(node[edges], 1)
+        key, a, b = np.zeros(0, np.int64), ends[:, 0], ends[:, 1]
+        if summed:
+            of = np.unique(np.stack([np.concatenate(keys), np.repeat(groups.root, [len(k) for k in keys])], 1), axis=0)
+            key, a, b = of[:, 0], np.concatenate([a, node[of[:, 1]]]), np.concatenate([b, np.full(len(of), table["shard"][0].as_py())])
+        return pa.table({"key": pa.concat_arrays([pa.nulls(len(edges), pa.int64()), pa.array(key)]), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    joined = places.join(met.select("node", "keys"), "node").join(found.select("node", "points", "codes"), "node")
+    return cut(joined.groupBy("shard").applyInArrow(search, "key bigint, a bigint, b bigint"), "links")
 
 
 def render(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", size: int = 64) -> DataFrame:

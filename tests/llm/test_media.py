@@ -114,3 +114,57 @@ def test_ties_and_flat_images():
     p, c = M.describe(tiled)
     assert len(p) and len(p) == len(c) and M.consensus(p, p) >= 4
     assert len(M.match(c, c[:0], 40)[0]) == 0
+
+
+def same_marks(n, pairs):
+    """Images that have the same descriptors, each at places of its own, but for pairs, which have theirs at the same."""
+    r = np.random.default_rng(7)
+    codes = r.integers(0, 256, (6, M.BITS // 8), np.uint8)
+    points = [np.column_stack([r.random((6, 2)) * 500, np.ones(6), r.random(6) * 6]).astype(np.float32) for _ in range(n)]
+    for i, j in pairs:
+        points[j] = points[i]
+    return [(p, codes) for p in points]
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_keys_of_many_images_lose_no_partner(spark, monkeypatch, block):
+    """All keys belong to all 40 images; links are between images that are neither the first nor the last of a key."""
+    monkeypatch.setattr(M, "BLOCK", block)
+    pairs = [(20, 21), (5, 33), (33, 34), (12, 13)]
+    described = same_marks(40, pairs)
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if linked(described[i], described[j])}
+    assert want == {*pairs, (5, 34)}
+    found = spark.createDataFrame([(i, len(p), p.tobytes(), c.tobytes()) for i, (p, c) in enumerate(described)], "node long, n_corners long, points binary, codes binary")
+    got = {(r["node"], r["label"]) for r in M.components(M._verify(M._candidates(found), found, 40, 4)).collect()}
+    assert got == {(20, 20), (21, 20), (5, 5), (33, 5), (34, 5), (12, 12), (13, 12)}
+
+
+@pytest.mark.parametrize("block, few", [(512, 500_000), (4, 500_000), (4, 0)])
+def test_classes_are_those_of_all_pairs_with_two_keys(spark, monkeypatch, block, few):
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "SMALL", few)
+    images = [pgm(f(scene(s))) for s in range(6) for f in (lambda x: x, *EDITS.values())]
+    images += [pgm(scene(50) + np.random.default_rng(n).normal(0, 8, (96, 96))) for n in range(20)]
+    described = [M.describe(M.decode_pgm(x)) for x in images]
+    found = spark.createDataFrame([(i, len(p), p.tobytes(), c.tobytes()) for i, (p, c) in enumerate(described)], "node long, n_corners long, points binary, codes binary")
+    got = [r["label"] for r in M.components(M._verify(M._candidates(found), found, 40, 4)).orderBy("node").collect()]
+    tables = [M.table_keys(c) for _, c in described]
+    sets = [{k & ~1 for k in x.tolist()} | {k | 1 for k in M.double_keys(x).tolist()} for x in tables]
+    root = list(range(len(images)))
+    for i in range(len(images)):
+        for j in range(i):
+            if root[i] != root[j] and sum(1 + k % 2 for k in sets[i] & sets[j]) > 1 and linked(described[i], described[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert got == [x for x in root if root.count(x) > 1]
+
+
+def test_a_group_of_near_copies_is_not_compared_pair_by_pair(monkeypatch):
+    tried = []
+    match = M.match
+    monkeypatch.setattr(M, "match", lambda *a: tried.append(1) or match(*a))
+    described = [M.describe(M.decode_pgm(pgm(scene(50) + np.random.default_rng(n).normal(0, 3, (96, 96))))) for n in range(60)]
+    keys = [M.table_keys(c).view(np.int64) for _, c in described]
+    every = np.ones(60, bool)
+    edges = M.link_images(keys, described, M.Groups(np.arange(60)), every, every, np.zeros(60, np.int64), 40, 4)
+    assert len(edges) == 59 and len(tried) < 90
