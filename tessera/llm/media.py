@@ -315,7 +315,7 @@ def _having(lists: DataFrame, table: DataFrame) -> DataFrame:
 
     schema = "node bigint, n_corners bigint, family bigint, keys array<bigint>"
     if table.count() <= SMALL:
-        pairs = np.array([tuple(r) for r in table.collect()], np.int64).reshape(-1, 2)
+        pairs = _numbers(table, "key", "first")
         sent = lists.sparkSession.sparkContext.broadcast(pairs[np.argsort(pairs[:, 0])])
         return lists.select("node", "n_corners", "keys").mapInArrow(lambda batches: pick(sent.value, batches), schema)
     both = attach(lists.select("node", "n_corners", F.explode("keys").alias("key")), table, "key", spread="node").groupBy("node", "n_corners").agg(F.collect_list(F.struct("key", "first")).alias("both"))
@@ -382,14 +382,12 @@ def _verify(met: DataFrame, found: DataFrame, hamming: int, least: int) -> DataF
     labels = components(links)
 
     # keys whose images are in several components and blocks yet
-    of_key = attach(made.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("shard")), labels, "node", spread="key", how="left").withColumn("label", F.coalesce("label", "node"))
-    open_keys = cut(of_key.groupBy("key").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.min("shard").alias("s1"), F.max("shard").alias("s2")).filter("l1 < l2 and s1 < s2").select("key", F.lit(0).cast("bigint").alias("first")), "open")
+    of_key = attach(made.filter("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("shard")), labels, "node", spread="key", how="left")
+    of_key = cut(of_key.groupBy("key", F.col("shard").alias("to")).agg(F.min(F.coalesce("label", "node")).alias("low"), F.max(F.coalesce("label", "node")).alias("high")), "of-key")
+    open_keys = cut(of_key.groupBy("key").agg(F.min("low").alias("l1"), F.max("high").alias("l2"), F.min("to").alias("s1"), F.max("to").alias("s2")).filter("l1 < l2 and s1 < s2").select("key"), "open")
+    there = cut(attach(of_key, open_keys, "key", spread="to"), "there")
     known = cut(placed.join(labels, "node", "left").select("node", "n_corners", "shard", F.coalesce("label", "node").alias("label")), "known")
-    left = cut(_having(met, open_keys).select("node", "keys").join(known, "node").select("node", "n_corners", "shard", "label", F.explode("keys").alias("key")), "left")
-    there = left.groupBy("key", F.col("shard").alias("to")).agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    met_by = (F.col("to") < F.col("shard")) & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))
-    weight = F.sum(F.col("key").bitwiseAND(F.lit(1)) + 1)
-    guests = cut(left.join(there, "key").filter(met_by).groupBy("node", "n_corners", "label", "to").agg(weight.alias("weight")).filter(F.col("weight") >= ENOUGH), "guests")
+    guests = cut(_guests(known.join(met.select("node", "keys"), "node"), there), "guests")
     if not guests.isEmpty():
         rooms = cut(guests.groupBy("to").agg(F.ceil(F.greatest(F.count("*") / (2 * BLOCK), F.sum("n_corners") / (2 * BLOCK_CORNERS))).alias("rooms")), "rooms")
         room = F.pmod(F.xxhash64("node"), F.col("rooms"))
@@ -398,10 +396,46 @@ def _verify(met: DataFrame, found: DataFrame, hamming: int, least: int) -> DataF
         owners = known.join(rooms, known["shard"] == rooms["to"]).withColumn("room", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rooms") - 1)))
         hosts = owners.select("node", none, F.xxhash64("to", "room").alias("shard"), F.lit(True).alias("indexed"), F.lit(False).alias("asked"), "label")
         links = links.union(_search(met, found, hosts.unionByName(asking), hamming, least, summed=False).select("a", "b"))
-    drop(count, large, placed, open_keys, known, left)
+    drop(count, large, placed, of_key, open_keys, there, known)
     return links
 
 
+def _guests(known: DataFrame, there: DataFrame) -> DataFrame:
+    """(node, n_corners, label, to): the earlier blocks with which an image shares keys of weight two or more, where these
+    have images of another class. known: (node, n_corners, shard, label, keys); there: (key, to, low, high), low and high
+    being the first and the last class that a block's images with this key have.
+
+    Of at most SMALL rows, there is broadcast, and an image's keys are summed where it lies; else they are joined."""
+    if there.count() > SMALL:
+        other = (F.col("to") < F.col("shard")) & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))
+        both = known.select("node", "n_corners", "shard", "label", F.explode("keys").alias("key")).join(there, "key").filter(other)
+        return both.groupBy("node", "n_corners", "label", "to").agg(F.sum(F.col("key").bitwiseAND(F.lit(1)) + 1).alias("weight")).filter(F.col("weight") >= ENOUGH).drop("weight")
+    table = _numbers(there, "key", "to", "low", "high")
+    sent = known.sparkSession.sparkContext.broadcast(table[np.argsort(table[:, 0])])
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, to, low, high = np.ascontiguousarray(sent.value.T)
+        for batch in batches if len(key) else ():
+            out = []
+            for node, n, shard, label, keys in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
+                keys = keys.values.to_numpy()
+                begin = np.searchsorted(key, keys, "left")
+                counts = np.searchsorted(key, keys, "right") - begin
+                at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+                at = at[(to[at] < shard) & ((low[at] != label) | (high[at] != label))]
+                blocks, which = np.unique(to[at], return_inverse=True)
+                out += [(node, n, label, b) for b in blocks[np.bincount(which, (key[at] & 1) + 1, len(blocks)) >= ENOUGH].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 4], names=["node", "n_corners", "label", "to"])
+
+    return known.select("node", "n_corners", "shard", "label", "keys").mapInArrow(visit, "node bigint, n_corners bigint, label bigint, to bigint")
+
+
+def _numbers(table: DataFrame, *names: str) -> np.ndarray:
+    """The rows of a small table of numbers."""
+    found = table.select(*names).toArrow()
+    return np.stack([found[c].to_numpy() for c in names], 1).astype(np.int64)
+
+
 def _search(met: DataFrame, found: DataFrame, places: DataFrame, hamming: int, least: int, summed: bool = True) -> DataFrame:
     """(key, a, b): links (null, a, b) found in each shard and, if summed, its keys, each once for every group that has it,
     with the group's first image and the shard. places: (node, family, shard, indexed, asked, label)."""
