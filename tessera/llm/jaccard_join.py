@@ -319,7 +319,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
     which = described.filter("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("n").alias("n"))
     shared = cut(shared, "shared")
-    met = cut(keys.join(small(shared), "key").distinct(), "met")
+    met = cut(attach(keys, shared.hint("merge"), "key", spread="node", stay=False).distinct(), "met")  # one plan at every size
     drop(shared)
     earlier = []
     for _ in range(2):  # what shares too few keys with all others together links with none of them
@@ -328,7 +328,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
         shared = rest.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key", "first")
         shared = cut(shared, "shared")
         earlier += [met, shared]
-        met = cut(rest.join(small(shared), "key"), "met")
+        met = cut(attach(rest, shared.hint("merge"), "key", spread="node", stay=False), "met")
     drop(*earlier)
 
     # a family: what shares a key with its first node; large ones in several blocks

@@ -86,3 +86,21 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["label"] for r in J.components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_joins_by_shingle_have_one_plan_at_every_size(spark, monkeypatch):
+    plans = []
+    cut = J.cut
+
+    def noted(df, name, *args, **kwargs):
+        if name == "met":
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return cut(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(J, "cut", noted)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j + i // 2}" for j in range(40))) for i in range(40)], "doc_id long, text string")
+    J.near_duplicates(docs).collect()
+    assert len(plans) == 3
+    for plan in plans:
+        by_key = [x for x in plan.splitlines() if "Join" in x and "[key" in x]
+        assert by_key and all("SortMergeJoin" in x and "salt_" in x for x in by_key)
