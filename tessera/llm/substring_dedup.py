@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_VALUE, MULT, SMALL, attach, cut, drop, mix, powers, slices, text_bytes
+from tessera.llm.common import BYTE_VALUE, MULT, SMALL, attach, cut, drop, mix, powers, slices, text_bytes  # noqa: F401 (tests set SMALL here)
 
 _U = np.uint64
 _MOST = _U(0xFFFFFFFFFFFFFFFF)
@@ -163,7 +163,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Copies become one class before texts are compared, and a task makes the anchors of a class once. Anchors and contexts are counted with map-side sums, only those
     that occur twice go on, and an anchor with more than GROUP different contexts is divided by longer keys (_crowded): no
-    cap, and no task gets a group that grows with the corpus."""
+    cap, and no task gets a group that grows with the corpus. The driver gets nothing that grows with it but the anchors
+    with more than GROUP contexts; all other joins shuffle both sides (merge), at every size."""
     w = span - k + 1
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut(docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha256"), F.xxhash64(F.col(id_col), text).alias("row_key")).withColumn("node", F.xxhash64("sha256")), "rows")
@@ -196,17 +197,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # an anchor's contexts: one that occurs twice covers all its occurrences; of the others, one occurrence each goes on
     contexts = cut(shared.filter("mixed").groupBy("anchor", "context").agg(F.min("node").alias("node"), F.min_by("pos", F.struct("node", "pos")).alias("pos"), (F.min(place) < F.max(place)).alias("twice")), "contexts")
-    sizes = cut(contexts.groupBy("anchor").agg(F.count("*").alias("n_contexts")), "sizes")
+    crowds = cut(contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("anchor", F.lit(True).alias("many")), "crowds")
     covered = cut(contexts.filter("twice").select(F.xxhash64("anchor", "context").alias("ctx")), "covered")
-    whole = shared.filter(~F.col("mixed")).select("node", "pos").unionByName(attach(shared.filter("mixed"), covered, "ctx", spread="node").select("node", "pos"))
+    whole = shared.filter(~F.col("mixed")).select("node", "pos").unionByName(attach(shared.filter("mixed"), covered.hint("merge"), "ctx", spread="node", stay=False).select("node", "pos"))
     whole = whole.groupBy("node").agg(F.collect_set("pos").alias("whole"))
-    looked = attach(contexts, sizes, "anchor", spread="node").groupBy("node").agg(F.collect_list(F.struct("pos", "anchor", "context", "twice", (F.col("n_contexts") > GROUP).alias("many"))).alias("contexts"))
+    looked = attach(contexts, crowds, "anchor", spread="node", how="left").groupBy("node").agg(F.collect_list(F.struct("pos", "anchor", "context", "twice", F.coalesce("many", F.lit(False)).alias("many"))).alias("contexts"))
     wanted = looked.join(whole, "node", "full").join(classes.select("node", "row_key"), "node")
-    source = docs.select(F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
-    few = cut(shared.select("node").distinct().join(classes.select("node", "row_key"), "node").select("row_key"), "few")
-    if few.count() <= SMALL:  # pick the texts before they are shuffled
-        source = source.join(F.broadcast(few), "row_key", "left_semi")
-    active = cut(wanted.join(source, "row_key").select("node", "text", "contexts", "whole"), "active", compression="zstd")
+    source = docs.select(F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text")).filter(F.octet_length("text") >= span)
+    active = cut(wanted.hint("merge").join(source, "row_key").select("node", "text", "contexts", "whole"), "active", compression="zstd")
 
     def cut_out(many: bool):
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +244,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     n_buckets = max(1, -(-contexts.count() // SHARE))
     partial = cut_out(False).groupBy(F.pmod(F.xxhash64("anchor"), F.lit(n_buckets))).applyInArrow(search, "node bigint, start bigint, end bigint")
-    if not sizes.filter(F.col("n_contexts") > GROUP).isEmpty():
+    if not crowds.isEmpty():
         partial = partial.unionByName(_crowded(cut(cut_out(True).dropDuplicates(["anchor", "context"]), "crowded"), span, k, search))
     spans_of = partial.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -281,7 +279,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     single = finished.join(classes.filter("copies = 1").select("node", "copies"), "node")
     double = classes.filter("copies > 1").select("node", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"), F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(NO_BYTES).alias("kept_sha256"), "copies")
     repeats = cut(single.unionByName(double), "repeats")
-    drop(shared, contexts, sizes, covered, few, active)
+    drop(shared, contexts, crowds, covered, active)
     return rows, repeats
 
 
@@ -310,7 +308,7 @@ def _crowded(crowded: DataFrame, span: int, k: int, search) -> DataFrame:
 
     keys = cut(crowded.select("ctx", "anchor", "lefts", "rights").mapInArrow(coarse, "key bigint, ctx bigint, i bigint"), "coarse")
     sizes = cut(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "coarse-sizes")
-    some = attach(keys, cut(sizes.filter(F.col("n") <= GROUP).select("key"), "divided"), "key", spread="ctx").select(F.col("key").alias("anchor"), "ctx")
+    some = attach(keys, cut(sizes.filter(F.col("n") <= GROUP).select("key"), "divided").hint("merge"), "key", spread="ctx", stay=False).select(F.col("key").alias("anchor"), "ctx")
     divided = cut(some.join(crowded.drop("anchor", "context"), "ctx").withColumnRenamed("ctx", "context").select("anchor", "context", "node", "pos", "twice", "lefts", "rights"), "divided")
     n_buckets = max(1, -(-divided.count() // SHARE))
     found = divided.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(n_buckets))).applyInArrow(search, "node bigint, start bigint, end bigint")
@@ -353,7 +351,7 @@ def _by_windows(open_: DataFrame, span: int, w: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, k: int = 80) -> DataFrame:
     """A row for each row of docs: its id, n_bytes, n_removed, n_spans and kept_sha256 (lower-case hex, of what is kept)."""
     rows, classes = find_repeats(docs, id_col, text_col, span, k)
-    joined = attach(rows, classes.drop("spans", "copies"), "node", spread="id", how="left")
+    joined = attach(rows, classes.drop("spans", "copies").hint("merge"), "node", spread="id", how="left", stay=False)
     zero = F.lit(0).cast("bigint")
     return joined.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
 

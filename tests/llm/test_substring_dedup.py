@@ -66,6 +66,29 @@ def test_edges(spark):
     assert S.remove_repeats(docs.limit(0)).collect() == []
 
 
+def test_driver_gets_no_table_that_grows(spark, monkeypatch):
+    """Tables of repeats, their contexts and their texts are shuffled while they are small, too."""
+    from pyspark.sql import functions as F
+
+    sent = []
+    monkeypatch.setattr(F, "broadcast", lambda df, real=F.broadcast: sent.append(df.count()) or real(df))
+    r = random.Random(7)
+    word = lambda m: "".join(r.choice("abcdefgh") for _ in range(m))
+    texts = []
+    for p in (word(400) for _ in range(20)):
+        texts += [word(30) + p + word(30), word(30) + p + word(30), word(9) + p[80:330] + word(9), p[:150]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = S.remove_repeats(docs)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+        got = {r["doc_id"]: tuple(r)[1:] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == dict(enumerate(brute(texts, 200)))
+    assert sum(n for *_, n, _ in got.values()) == 60 and sum(sent) == 0
+
+
 def test_intervals_give_all_occurrences():
     found = list(S.maximal_repeats([b"xy", b"xz", b"xy"], [b"abc", b"abd", b"abe"], 3))
     assert (1, 2, [0, 2, 1]) in [(a, b, sorted(c, key=[0, 2, 1].index)) for a, b, c in found]
